@@ -99,8 +99,8 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, min_items: int = 1) ->
     """docs without the rows in which windows of at least min_items benchmark items occur."""
     bad = benchmark_hits(docs, bench).where(F.col("n_items") >= min_items).select("doc_id", "text_key").distinct()
     bad = broadcast_if_small(materialise(bad, "contaminated"))
-    d = docs.withColumn("text_key", F.xxhash64("text"))
-    return d.join(bad, same_row(d, bad, "doc_id", "text_key"), "left_anti").select(*docs.columns)
+    d = docs.withColumn("__text_key", F.xxhash64("text"))
+    return d.join(bad, d["doc_id"].eqNullSafe(bad["doc_id"]) & (d["__text_key"] == bad["text_key"]), "left_anti").select(*docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

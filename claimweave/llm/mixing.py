@@ -61,11 +61,13 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with n_copies, copy_no (from 1), rate and shuffle_key, a row for each copy drawn, in the order of shuffle_key.
 
-    Draws depend on seed and doc_id alone: rows that repeat a doc_id are drawn alike, a null doc_id counts as the word null.
+    Draws depend on seed and doc_id alone: rows that repeat a doc_id are drawn alike, a null doc_id counts as the word null. Columns of
+    those four names are replaced.
     """
-    rates = broadcast_if_small(materialise(rates.select(F.col("source").alias("r_source"), "rate"), "rates"))
+    rates = broadcast_if_small(materialise(rates.select(F.col("source").alias("__source"), "rate"), "rates"))
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    d = docs.join(rates, docs[source_col].eqNullSafe(rates.r_source)).drop("r_source")
+    docs = docs.drop("rate", "n_copies", "copy_no", "shuffle_key")
+    d = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"])).drop("__source")
     d = d.withColumn("n_copies", poisson_count(F.col("rate"), F.lit(seed), key)).where(F.col("n_copies") > 0)
     d = d.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-place"), key, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")

@@ -383,10 +383,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = materialise(mine.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "kept")
     repeated = kept.where("n > 1").limit(1).count() > 0
     kept = broadcast_if_small(kept.select("doc_id", "text_key"))
-    d = docs.withColumn("text_key", F.xxhash64("text"))
-    out = d.join(kept, same_row(d, kept, "doc_id", "text_key"), "left_semi")
-    if repeated:  # rows that are repeated in full, down to one
-        out = out.dropDuplicates(["doc_id", "text_key"])
+    d = docs.withColumn("__text_key", F.xxhash64("text"))
+    out = d.join(kept, d["doc_id"].eqNullSafe(kept["doc_id"]) & (d["__text_key"] == kept["text_key"]), "left_semi")
+    if repeated:  # rows with the same id and text, down to one
+        out = out.dropDuplicates(["doc_id", "__text_key"])
     return out.select(*docs.columns)
 
 

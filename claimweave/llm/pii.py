@@ -152,11 +152,11 @@ def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_co
     Overlapping spans are one: the first by start, then kind, names it.
     """
     d = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    f = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__tk"), "base", "terms").dropDuplicates(["__id", "__tk"])
+    f = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__tk"), F.col("base").alias("__base"), F.col("terms").alias("__terms")).dropDuplicates(["__id", "__tk"])
     j = d.join(f, d[id_col].eqNullSafe(f["__id"]) & (d["__key"] == f["__tk"]), "left")
     mark = F.concat(
-        F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("put"))),
-        F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.when(x["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("put"))),
+        F.transform("__base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("put"))),
+        F.transform("__terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.when(x["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("put"))),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
