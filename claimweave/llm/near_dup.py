@@ -28,6 +28,8 @@ SHARD = 1024
 RADIUS = 36
 #: Graph neighbours, beam to begin with, queries of a shard that are audited, recall that they must reach.
 LINKS, BEAM, AUDIT, RECALL = 10, 16, 32, 0.98
+#: A beam that lies within the radius grows to this: beyond it, a row has more near copies in its shard than it needs links to.
+WIDEST = 64
 #: Of the neighbours within the radius, the nearest and a spread of the others become candidates.
 NEAR, SPREAD = 6, 3
 
@@ -266,7 +268,7 @@ def candidates(sigs: np.ndarray) -> np.ndarray:
     while len(todo):
         ids, d = graph.search(sigs[todo], beam)
         ok = (ids >= 0) & (d <= RADIUS) & (ids != todo[:, None])
-        more = ((d[:, -1] <= RADIUS) & (ids[:, -1] >= 0)) if beam < min(n, 16 * BEAM) else np.zeros(len(todo), bool)
+        more = ((d[:, -1] <= RADIUS) & (ids[:, -1] >= 0)) if beam < min(n, WIDEST) else np.zeros(len(todo), bool)
         for row in np.flatnonzero(~more & ok.any(1)):
             own = ids[row][ok[row]]
             rest = own[NEAR:]
@@ -303,7 +305,9 @@ def candidate_pairs(nodes: DataFrame) -> DataFrame:
         pairs = np.unique(np.sort(pairs.reshape(-1, 2), 1), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    found = _dealt(nodes).groupBy("shard").applyInArrow(run, "a long, b long")
+    # Each task's work is far more than its bytes, so that the number of tasks follows the number of shards.
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * REPLICAS // (SHARD * 8)))
+    found = _dealt(nodes).repartition(parts, "shard").groupBy("shard").applyInArrow(run, "a long, b long")
     return found.where(F.col("a") < F.col("b")).distinct()
 
 
