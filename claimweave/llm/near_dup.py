@@ -246,27 +246,43 @@ class SmallWorld:
         return ids, d
 
 
+    def exact(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """search, but over all rows, in blocks of queries."""
+        beam = min(beam, self.n)
+        out = []
+        for i in range(0, len(q), 256):
+            d = distance(q[i : i + 256, None], self.sigs[None, : self.n])
+            near = np.argpartition(d, beam - 1, 1)[:, :beam]
+            own = np.take_along_axis(d, near, 1)
+            order = np.argsort(own, 1, "stable")
+            out.append((np.take_along_axis(near, order, 1), np.take_along_axis(own, order, 1)))
+        return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+
+
 def candidates(sigs: np.ndarray) -> np.ndarray:
-    """Pairs of rows within RADIUS: for each row the nearest and a spread of the others. The beam doubles for rows whose beam lies
-    within the radius, and for all rows while an audit against exact search falls short of RECALL; at last it holds the whole shard."""
+    """Pairs of rows within RADIUS: for each row the nearest and a spread of the others. While an audit against exact search falls short
+    of RECALL, the beam doubles for all rows; a shard that the graph doesn't serve at WIDEST is searched exactly. The beam also doubles for
+    rows whose whole beam lies within the radius."""
     n = len(sigs)
     if n < 2:
         return np.zeros((0, 2), np.int64)
     graph = SmallWorld(sigs)
-    beam = BEAM
     asked = np.linspace(0, n - 1, min(n, AUDIT)).astype(int)
-    exact = distance(sigs[asked, None], sigs[None])
-    want = exact <= RADIUS
+    want = (distance(sigs[asked, None], sigs[None]) <= RADIUS).sum(1)
+    search, beam = graph.search, BEAM
     while True:
-        ids, d = graph.search(sigs[asked], beam)
+        ids, d = search(sigs[asked], beam)
         found = ((ids >= 0) & (d <= RADIUS)).sum(1)
-        could = np.minimum(want.sum(1), beam)  # a beam that is full isn't the graph's miss
+        could = np.minimum(want, beam)  # a beam that is full isn't the graph's miss
         if found.sum() >= RECALL * could.sum() or beam >= n:
             break
-        beam *= 2
+        if beam >= WIDEST:
+            search, beam = graph.exact, BEAM
+        else:
+            beam *= 2
     pairs, todo = [], np.arange(n)
     while len(todo):
-        ids, d = graph.search(sigs[todo], beam)
+        ids, d = search(sigs[todo], beam)
         ok = (ids >= 0) & (d <= RADIUS) & (ids != todo[:, None])
         more = ((d[:, -1] <= RADIUS) & (ids[:, -1] >= 0)) if beam < min(n, WIDEST) else np.zeros(len(todo), bool)
         for row in np.flatnonzero(~more & ok.any(1)):
