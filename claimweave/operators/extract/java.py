@@ -371,7 +371,8 @@ class Parser:
             w, prev = t.text[i], t.text[i - 1]
             if t.text[i + 1 : i + 2] == ["("] and (w in ("this", "super") or w not in CONTROL):
                 args = split_args(t.text[i + 2 : t.close(i + 1)], t.kind[i + 2 : t.close(i + 1)])
-                detail = {"argc": len(args), "args": [arg_type(x, k, local) for x, k in args], "base": None}
+                first = literal(*args[0]) if args and args[0][1] == ["text"] else None
+                detail = {"argc": len(args), "args": [arg_type(x, k, local) for x, k in args], "base": None, "first": first}
                 if w in ("this", "super"):
                     if prev != ".":
                         self.add("call", "<init>", caller, i, t.close(i + 1) + 1, detail | {"shape": w + "_constructor", "owner": owner})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,14 +18,38 @@ def _d(key: str) -> Column:
     return F.get_json_object("detail", f"$.{key}")
 
 
+def once(rows: DataFrame, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table over rows that several resolvers need, written once for these rows."""
+    done = rows.__dict__.setdefault("_settled", {})
+    if name not in done:
+        done[name] = settled(make())
+    return done[name]
+
+
 def types(rows: DataFrame) -> DataFrame:
+    return once(rows, "types", lambda: _types(rows))
+
+
+def members(rows: DataFrame) -> DataFrame:
+    return once(rows, "members", lambda: _members(rows))
+
+
+def inherits(rows: DataFrame) -> DataFrame:
+    return once(rows, "inherits", lambda: _inherits(rows))
+
+
+def supertypes(rows: DataFrame, only: str | None = None) -> DataFrame:
+    return once(rows, f"supertypes-{only}", lambda: ancestors(inherits(rows), only=only))
+
+
+def _types(rows: DataFrame) -> DataFrame:
     """path, qualname, simple, package, fqn, node_kind, hash, node_id of all types."""
     t = rows.where("kind = 'type'").select("path", "qualname", "hash", _d("node_kind").alias("node_kind"), _d("package").alias("package"))
     fqn = F.when(F.col("package") == "", F.col("qualname")).otherwise(F.concat_ws(".", "package", "qualname"))
     return t.withColumn("simple", F.substring_index("qualname", ".", -1)).withColumn("fqn", fqn).withColumn("node_id", stable_id("java_node", "node_kind", "path", "qualname"))
 
 
-def members(rows: DataFrame) -> DataFrame:
+def _members(rows: DataFrame) -> DataFrame:
     """Methods, constructors and fields: path, owner, qualname, simple, node_kind, identity, arity, varargs, generic, params, return_type, type, hash, node_id.
 
     Overloads have an identity with their parameter types; a name that stands alone is its own identity.
@@ -74,8 +100,9 @@ def resolve_types(refs: DataFrame, rows: DataFrame) -> DataFrame:
     return refs.join(done, ["path", "type_name"])
 
 
-def inherits(rows: DataFrame) -> DataFrame:
+def _inherits(rows: DataFrame) -> DataFrame:
     """edge_id, source_id, target_id, relation (extends, implements, permits), child and parent path and qualname, how, reason."""
+    rows = settled(rows.where("kind in ('type', 'import', 'package')"))
     parts = None
     for relation in ("extends", "implements", "permits"):
         one = rows.where("kind = 'type'").select("path", F.col("qualname").alias("child"), _d("node_kind").alias("child_kind"), F.lit(relation).alias("relation"), F.explode(F.from_json(_d(relation), "array<string>")).alias("text"))
@@ -90,11 +117,13 @@ def ancestors(edges: DataFrame, depth: int = 6, only: str | None = None) -> Data
     e = edges.where("target_id is not null and relation <> 'permits'")
     if only:
         e = e.where(F.col("relation") == only)
-    step = e.select(F.col("path").alias("p"), F.col("child").alias("c"), F.col("target_path").alias("up_path"), F.col("target").alias("up")).distinct()
+    step = settled(e.select(F.col("path").alias("p"), F.col("child").alias("c"), F.col("target_path").alias("up_path"), F.col("target").alias("up")).distinct())
     every = level = step.select(F.col("p").alias("path"), F.col("c").alias("cls"), "up_path", "up", F.lit(1).alias("level"))
     for k in range(2, depth + 1):
         nxt = step.select(F.col("p").alias("up_path"), F.col("c").alias("up"), F.col("up_path").alias("next_path"), F.col("up").alias("next"))
-        level = level.join(nxt, ["up_path", "up"]).select("path", "cls", F.col("next_path").alias("up_path"), F.col("next").alias("up"), F.lit(k).alias("level")).distinct()
+        level = settled(level.join(nxt, ["up_path", "up"]).select("path", "cls", F.col("next_path").alias("up_path"), F.col("next").alias("up"), F.lit(k).alias("level")).distinct())
+        if level.isEmpty():
+            break
         every = every.unionByName(level)
     return every.groupBy("path", "cls", "up_path", "up").agg(F.min("level").alias("level"))
 
@@ -112,7 +141,7 @@ def type_uses(rows: DataFrame) -> DataFrame:
 def overrides(rows: DataFrame) -> DataFrame:
     """Methods and the one of their nearest supertype level with the same name, arity and erased parameters."""
     m = members(rows).where("node_kind = 'method'").withColumn("erased", F.array_join(F.transform("params", lambda p: F.regexp_replace(p, r"<.*>", "")), ","))
-    up = ancestors(inherits(rows))
+    up = supertypes(rows)
     mine = m.select("path", F.col("owner").alias("cls"), "simple", "erased", "qualname", F.col("node_id").alias("source_id"))
     theirs = m.select(F.col("path").alias("up_path"), F.col("owner").alias("up"), "simple", "erased", F.col("qualname").alias("target"), F.col("node_id").alias("target_id"))
     hit = mine.join(up, ["path", "cls"]).join(theirs, ["up_path", "up", "simple", "erased"])
@@ -149,8 +178,8 @@ def calls(rows: DataFrame) -> DataFrame:
     far = resolve_types(chained.select(F.col("t_path").alias("path"), F.col("return_name").alias("type_name")).distinct(), rows).select(F.col("path").alias("t_path"), F.col("type_name").alias("return_name"), F.col("target_path").alias("r_path"), F.col("target").alias("r_cls"))
     chained = chained.join(far, ["t_path", "return_name"]).select("ref", "r_path", "r_cls")
     c = c.join(chained, "ref", "left")
-    all_edges = inherits(rows)
-    up, parents = ancestors(all_edges), ancestors(all_edges, only="extends")
+    c = settled(c)
+    up, parents = supertypes(rows), supertypes(rows, "extends")
 
     def at(df: DataFrame, path: str, cls: str, rank: int, how: Column | str) -> DataFrame:
         return df.select("ref", F.col(path).alias("m_path"), F.col(cls).alias("owner"), F.lit(rank).alias("rank"), (F.lit(how) if isinstance(how, str) else how).alias("how"))
@@ -168,15 +197,18 @@ def calls(rows: DataFrame) -> DataFrame:
     calls_ = c.select("ref", "shape", "argc", "args", F.when(shape.isin("new", "this_constructor", "super_constructor"), "constructor").otherwise("method").alias("node_kind"), F.col("name").alias("simple"))
     targets = m.select(F.col("path").alias("m_path"), "owner", "simple", "node_kind", "arity", "varargs", "generic", "params", F.col("node_id").alias("target_id"))
     pairs = looks.join(calls_, "ref").join(targets.withColumnRenamed("simple", "m_simple"), ["m_path", "owner", "node_kind"]).where((F.col("node_kind") == "constructor") | (F.col("simple") == F.col("m_simple")))
+    pairs = settled(pairs)
     nearest = pairs.groupBy("ref").agg(F.min("rank").alias("rank"))
     pairs = pairs.join(nearest, ["ref", "rank"]).withColumn("named", F.lit(True))
     fits = F.when(F.col("varargs"), F.col("argc") >= F.col("arity") - 1).otherwise(F.col("argc") == F.col("arity"))
+    pairs = settled(pairs)
     ok = pairs.where(fits).withColumn("cost", overload_cost(F.col("args"), F.col("params"), F.col("varargs")))
-    best = ok.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("only"), F.count_if(F.col("cost").isNotNull()).alias("known"), F.min("cost").alias("low"), F.min("how").alias("how"))
+    ok = settled(ok)
+    best = ok.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("target_id").alias("only"), F.min("cost").alias("low"), F.min("how").alias("how"))
     tied = ok.join(best.select("ref", "low"), "ref").where(F.col("cost") == F.col("low")).groupBy("ref").agg(F.count(F.lit(1)).alias("ties"), F.min("target_id").alias("cheapest"))
     named = pairs.groupBy("ref").agg(F.first("named").alias("named"))
     out = c.join(best, "ref", "left").join(tied, "ref", "left").join(named, "ref", "left")
-    target = F.when(F.col("n") == 1, F.col("only")).when((F.col("n") > 1) & (F.col("known") == F.col("n")) & (F.col("ties") == 1), F.col("cheapest"))
+    target = F.when(F.col("n") == 1, F.col("only")).when((F.col("n") > 1) & F.forall("args", lambda x: x.isNotNull()) & (F.col("ties") == 1), F.col("cheapest"))
     reason = (
         F.when(F.col("named"), "java_overloaded_or_ambiguous_method")
         .when(shape == "variable", F.when(F.col("t_reason").isin("jdk_type", "external_type"), "java_external_or_jdk_receiver").otherwise("java_ambiguous_or_unknown_receiver"))
@@ -219,7 +251,7 @@ def field_uses(rows: DataFrame) -> DataFrame:
     f = members(rows).where("type is not null").select(F.col("path").alias("f_path"), F.col("owner").alias("f_cls"), F.col("simple").alias("name"), F.col("node_id").alias("target_id"), F.col("qualname").alias("target"))
     u = rows.where("kind = 'field_use'").select("path", F.col("owner").alias("caller"), F.col("qualname").alias("name"), _d("use").alias("use"), _d("owner").alias("cls")).distinct()
     own = u.join(f.withColumnsRenamed({"f_path": "path", "f_cls": "cls"}), ["path", "cls", "name"]).withColumn("level", F.lit(0)).withColumn("f_path", F.col("path"))
-    far = u.join(ancestors(inherits(rows)), ["path", "cls"]).join(f.withColumnsRenamed({"f_path": "up_path", "f_cls": "up"}), ["up_path", "up", "name"]).select("path", "caller", "name", "use", "cls", "target_id", "target", "level", F.col("up_path").alias("f_path"))
+    far = u.join(supertypes(rows), ["path", "cls"]).join(f.withColumnsRenamed({"f_path": "up_path", "f_cls": "up"}), ["up_path", "up", "name"]).select("path", "caller", "name", "use", "cls", "target_id", "target", "level", F.col("up_path").alias("f_path"))
     every = own.select("path", "caller", "name", "use", "cls", "target_id", "target", "level", "f_path").unionByName(far)
     per = every.groupBy("path", "caller", "name", "use", "level").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("target_id", "f_path", "target")).alias("t"))
     near = per.groupBy("path", "caller", "name", "use").agg(F.min_by(F.struct("n", "t"), "level").alias("b")).where("b.n = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimweave.functions.ids import hashed_id, stable_id
+from claimweave.tables import settled
 
 
 def _d(key: str) -> Column:
@@ -47,9 +48,12 @@ def inherited_methods(rows: DataFrame, depth: int = 8) -> DataFrame:
     b = bases(rows)
     methods = rows.where("kind = 'function' and owner is not null").select("path", F.col("owner").alias("base"), F.substring_index("qualname", ".", -1).alias("name"), "qualname")
     up = b.select("path", "cls", "base")
-    every = up
+    every = up = settled(up)
     for _ in range(depth - 1):
         up = up.where("base is not null").join(b.select("path", F.col("cls").alias("base"), F.col("base").alias("next")), ["path", "base"]).select("path", "cls", F.col("next").alias("base")).distinct()
+        up = settled(up)
+        if up.isEmpty():
+            break
         every = every.unionByName(up)
     every = every.distinct()
     unknown = every.where("base is null").select("path", "cls").distinct()
@@ -86,13 +90,13 @@ def calls(rows: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         .when(F.col("shape") == "attribute", "attribute_call_not_resolved")
         .otherwise("dynamic_call_not_resolved")
     )
-    r = r.withColumn("target_path", target_path).withColumn("target", target)
-    found = r.where("target is not null").select("path", "caller", "target_path", "target", how.alias("resolution")).distinct()
+    r = settled(r.withColumn("target_path", target_path).withColumn("target", target).withColumn("how", how).withColumn("reason", reason))
+    found = r.where("target is not null").select("path", "caller", "target_path", "target", F.col("how").alias("resolution")).distinct()
     a = fns.select("path", F.col("qualname").alias("caller"), F.col("node_id").alias("source_id"), F.col("fn_hash").alias("caller_hash"))
     b = fns.select(F.col("path").alias("target_path"), F.col("qualname").alias("target"), F.col("node_id").alias("target_id"), F.col("fn_hash").alias("callee_hash"))
     edges = found.join(a, ["path", "caller"]).join(b, ["target_path", "target"])
     edges = edges.withColumn("edge_id", stable_id("calls", "source_id", "target_id")).dropDuplicates(["edge_id"])
-    unresolved = r.where("target is null").select("path", F.col("caller").alias("qualname"), F.concat_ws(".", "base", "name").alias("expr"), reason.alias("reason")).distinct()
+    unresolved = r.where("target is null").select("path", F.col("caller").alias("qualname"), F.concat_ws(".", "base", "name").alias("expr"), "reason").distinct()
     return edges, unresolved
 
 

@@ -1 +1,233 @@
-"""Queries over source code."""
+"""Queries over source code: generated files with SQL oracles, and small written corpora whose rows tests pin down."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from claimweave.operators import contracts
+from claimweave.operators.extract.config import config_keys
+from claimweave.operators.extract.java import java_rows
+from claimweave.operators.extract.python import python_rows
+from claimweave.operators.resolve import annotations
+from claimweave.operators.resolve import java as rj
+from claimweave.operators.resolve import python as rp
+from claimweave.plans import samples
+from claimweave.plans.registry import query
+from claimweave.sources.corpora import table
+from claimweave.streaming import metrics as stream_metrics_
+from claimweave.streaming import warm as stream_warm_
+
+_MAIN = ["from pkg.c{c} import helper", "import os", "LIMIT = {o}", "def main(a, b=1):", "    helper(a)", "    local()", "    missing()", "    os.getenv('KEY_{k}')", "    return LIMIT", "def local():", "    pass", ""]
+
+
+def _fill(lines: list[str], **cols: str):
+    """A text column: the lines with {x} replaced by columns."""
+    text = F.lit("\n".join(lines))
+    for k, v in cols.items():
+        text = F.replace(text, F.lit("{" + k + "}"), F.col(v).cast("string"))
+    return text
+
+
+def python_files(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") % 7).alias("k"))
+    main = o.select(F.concat(F.lit("pkg/o"), F.col("o_orderkey").cast("string"), F.lit(".py")).alias("path"), _fill(_MAIN, c="o_custkey", o="o_orderkey", k="k").alias("text"))
+    c = table(spark, sf, "customer").select("c_custkey")
+    name = F.when(F.col("c_custkey") % 5 == 0, "other").otherwise("helper")
+    return main.unionByName(c.select(F.concat(F.lit("pkg/c"), F.col("c_custkey").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("def "), name, F.lit("(x):\n    return x\n")).alias("text")))
+
+
+_PY_FNS = """fns AS (SELECT 'pkg/o' || o_orderkey || '.py' AS path, 'main' AS qualname, 4 AS line_start, 9 AS line_end FROM orders UNION ALL SELECT 'pkg/o' || o_orderkey || '.py', 'local', 10, 11 FROM orders
+UNION ALL SELECT 'pkg/c' || c_custkey || '.py', CASE WHEN c_custkey % 5 = 0 THEN 'other' ELSE 'helper' END, 1, 2 FROM customer)"""
+
+
+def _fn(path: str, name: str) -> str:
+    return f"'claim_fn_' || substr(sha256({path} || chr(0) || {name}), 1, 16)"
+
+
+@query("python_functions", f"WITH {_PY_FNS} SELECT path, qualname, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, {_fn('path', 'qualname')} AS claim_id FROM fns")
+def python_functions(spark: SparkSession, sf: str) -> DataFrame:
+    r = python_rows(python_files(spark, sf)).where("kind = 'function'")
+    ids = rp.stable_id("function", "path", "qualname")
+    return r.select("path", "qualname", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), ids.alias("claim_id"))
+
+
+_O = "'pkg/o' || o_orderkey || '.py'"
+
+
+@query(
+    "python_calls",
+    f"""WITH e AS (SELECT {_fn(_O, "'main'")} AS source_id, {_fn(_O, "'local'")} AS target_id, 'module_name_or_self_method' AS resolution FROM orders
+UNION ALL SELECT {_fn(_O, "'main'")}, {_fn("'pkg/c' || c_custkey || '.py'", "'helper'")}, 'from_import_direct_top_level' FROM orders JOIN customer ON c_custkey = o_custkey AND c_custkey % 5 <> 0)
+SELECT source_id, target_id, 'claim_edge_' || substr(sha256(source_id || chr(0) || target_id), 1, 16) AS edge_id, resolution FROM e""",
+)
+def python_calls(spark: SparkSession, sf: str) -> DataFrame:
+    files = python_files(spark, sf)
+    return rp.calls(python_rows(files), files)[0].select("source_id", "target_id", "edge_id", "resolution")
+
+
+@query(
+    "python_unresolved",
+    f"""SELECT {_O} AS path, 'main' AS qualname, 'missing' AS expr, 'name_not_module_local_function' AS reason FROM orders
+UNION ALL SELECT {_O}, 'main', 'helper', CASE WHEN c_custkey IS NULL THEN 'import_module_not_found' ELSE 'from_import_symbol_not_direct_top_level_def' END FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE c_custkey IS NULL OR c_custkey % 5 = 0""",
+)
+def python_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    files = python_files(spark, sf)
+    return rp.calls(python_rows(files), files)[1].select("path", "qualname", "expr", "reason")
+
+
+@query(
+    "python_reads",
+    f"""WITH e AS (SELECT {_O} AS path, {_fn(_O, "'main'")} AS source_id, 'claim_decl_' || substr(sha256('declaration' || chr(0) || {_O} || chr(0) || 'LIMIT'), 1, 16) AS target_id FROM orders)
+SELECT path, source_id, target_id, 'claim_read_edge_' || substr(sha256('reads' || chr(0) || source_id || chr(0) || target_id), 1, 16) AS edge_id FROM e""",
+)
+def python_reads(spark: SparkSession, sf: str) -> DataFrame:
+    files = python_files(spark, sf)
+    return rp.declaration_relations(python_rows(files), files, "read").select("path", "source_id", "target_id", "edge_id")
+
+
+@query(
+    "python_env_reads",
+    f"""WITH e AS (SELECT {_fn(_O, "'main'")} AS source_id, 'KEY_' || (o_orderkey % 7) AS env_name FROM orders)
+SELECT source_id, env_name, 'claim_env_' || substr(sha256('env' || chr(0) || env_name), 1, 16) AS target_id, 'claim_env_read_edge_' || substr(sha256('reads_env' || chr(0) || source_id || chr(0) || env_name), 1, 16) AS edge_id FROM e""",
+)
+def python_env_reads(spark: SparkSession, sf: str) -> DataFrame:
+    return rp.env_reads(python_rows(python_files(spark, sf))).select("source_id", "env_name", "target_id", "edge_id")
+
+
+# --- Java -----------------------------------------------------------------------------------------------------------------------------
+
+_JAVA = ["package j;", "import q.C{c};", "public class O{o} extends C{c} implements Runnable {", "  private int n;", "  public void run() { n = 1; helper(n); own(); gone(); }", "  void own() { }", "}", ""]
+
+
+def java_files(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", "o_custkey")
+    main = o.select(F.concat(F.lit("src/main/java/j/O"), F.col("o_orderkey").cast("string"), F.lit(".java")).alias("path"), _fill(_JAVA, c="o_custkey", o="o_orderkey").alias("text"))
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
+    return main.unionByName(c.select(F.concat(F.lit("src/main/java/q/C"), F.col("k").cast("string"), F.lit(".java")).alias("path"), _fill(["package q;", "public class C{k} {", "  protected void helper(int x) { }", "  public void run() { }", "}", ""], k="k").alias("text")))
+
+
+def _java(kind: str, path: str, name: str) -> str:
+    return f"'claim_java_' || substr(sha256('java' || chr(0) || '{kind}' || chr(0) || {path} || chr(0) || {name}), 1, 16)"
+
+
+_JO, _JC = "'src/main/java/j/O' || o_orderkey || '.java'", "'src/main/java/q/C' || c_custkey || '.java'"
+_JOIN = "orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0"
+
+
+@query(
+    "java_types",
+    f"SELECT {_JO} AS path, 'O' || o_orderkey AS qualname, {_java('class', _JO, chr(39) + 'O' + chr(39) + ' || o_orderkey')} AS node_id FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT {_JC}, 'C' || c_custkey, {_java('class', _JC, chr(39) + 'C' + chr(39) + ' || c_custkey')} FROM customer",
+)
+def java_types(spark: SparkSession, sf: str) -> DataFrame:
+    return rj.types(java_rows(java_files(spark, sf))).select("path", "qualname", "node_id")
+
+
+@query(
+    "java_inherits",
+    f"""SELECT {_JO} AS path, 'extends' AS relation, 'q.C' || c_custkey AS fqn, 'explicit_import' AS how, NULL AS reason FROM {_JOIN}
+UNION ALL SELECT {_JO}, 'extends', 'q.C' || o_custkey, NULL, 'external_type' FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT {_JO}, 'implements', NULL, NULL, 'type_not_found' FROM orders WHERE o_orderkey % 5 = 0""",
+)
+def java_inherits(spark: SparkSession, sf: str) -> DataFrame:
+    return rj.inherits(java_rows(java_files(spark, sf))).select("path", "relation", "fqn", "how", "reason")
+
+
+@query(
+    "java_calls",
+    f"""SELECT {_JO} AS path, 'own' AS name, {_java('method', _JO, "'O' || o_orderkey || '.own'")} AS target_id, 'java_same_class_method' AS resolution, NULL AS reason FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT {_JO}, 'helper', {_java('method', _JC, "'C' || c_custkey || '.helper'")}, 'java_direct_parent_method', NULL FROM {_JOIN}
+UNION ALL SELECT {_JO}, 'helper', NULL, NULL, 'java_method_not_found' FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey NOT IN (SELECT c_custkey FROM customer)
+UNION ALL SELECT {_JO}, 'gone', NULL, NULL, 'java_method_not_found' FROM orders WHERE o_orderkey % 5 = 0""",
+)
+def java_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return rj.calls(java_rows(java_files(spark, sf))).select("path", "name", "target_id", "resolution", "reason")
+
+
+@query(
+    "java_overrides",
+    f"SELECT {_JO} AS path, {_java('method', _JO, chr(39) + 'O' + chr(39) + ' || o_orderkey || ' + chr(39) + '.run' + chr(39))} AS source_id, {_java('method', _JC, chr(39) + 'C' + chr(39) + ' || c_custkey || ' + chr(39) + '.run' + chr(39))} AS target_id FROM {_JOIN}",
+)
+def java_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    return rj.overrides(java_rows(java_files(spark, sf))).select("path", "source_id", "target_id")
+
+
+@query("java_field_uses", f"SELECT {_JO} AS path, unnest(['read', 'write']) AS use, 'O' || o_orderkey || '.n' AS target FROM orders WHERE o_orderkey % 5 = 0")
+def java_field_uses(spark: SparkSession, sf: str) -> DataFrame:
+    return rj.field_uses(java_rows(java_files(spark, sf))).select("path", "use", "target")
+
+
+def _sample(spark: SparkSession) -> DataFrame:
+    return java_rows(samples.files(spark, samples.JAVA))
+
+
+def _register(name: str, f) -> None:
+    query(name)(lambda spark, sf: f(_sample(spark)))
+
+
+for _name, _f in {
+    "java_annotation_metadata": annotations.annotation_metadata,
+    "java_type_uses": rj.type_uses,
+    "java_mvc_routes": annotations.mvc_routes,
+    "java_feign_routes": annotations.feign_routes,
+    "java_topic_edges": annotations.topic_edges,
+    "java_event_edges": annotations.event_edges,
+    "java_injections": annotations.injections,
+    "java_configuration_properties": annotations.configuration_properties,
+    "java_mybatis_statements": annotations.mybatis_statements,
+    "java_repositories": annotations.repositories,
+    "java_spring_declarations": lambda r: annotations.literal_declarations(r, **annotations.SPRING),
+    "java_persistence_declarations": lambda r: annotations.literal_declarations(r, **annotations.PERSISTENCE),
+}.items():
+    _register(_name, _f)
+
+
+# --- configuration, contracts, overloads ----------------------------------------------------------------------------------------------
+
+
+@query("config_yaml")
+def config_yaml(spark: SparkSession, sf: str) -> DataFrame:
+    return config_keys(samples.files(spark, samples.CONFIG))
+
+
+@query("python_extract")
+def python_extract(spark: SparkSession, sf: str) -> DataFrame:
+    return python_rows(samples.files(spark, samples.PYTHON))
+
+
+@query(
+    "contracts",
+    """WITH x AS (SELECT doc_id, quality = 1 AS has_value, toxic = 1 AS has_write, (doc_id % 10) / 10.0::DOUBLE AS c FROM labels)
+SELECT doc_id, 'b' AS params, 1::BIGINT AS raises, CASE WHEN has_value THEN 'returns the value' END AS returns, CASE WHEN has_write THEN '' ELSE 'pure' END AS side_effects, round(least(c, 0.6), 6)::DOUBLE AS confidence, (2 + CASE WHEN has_value THEN 0 ELSE 1 END + CASE WHEN has_write THEN 1 ELSE 0 END)::BIGINT AS pruned FROM x""",
+)
+def contracts_(spark: SparkSession, sf: str) -> DataFrame:
+    lab = table(spark, sf, "labels")
+    named = lambda *ns: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(f"the {n}").alias("meaning")) for n in ns])
+    cand = lab.select("doc_id", named("b", "zz").alias("params"), named("ValueError", "KeyError").alias("raises"), F.lit("returns the value").alias("returns"), F.array(F.lit("pure")).alias("side_effects"), ((F.col("doc_id") % 10) / F.lit(10.0)).alias("confidence"), F.array(F.lit("b")).alias("mech_params"), F.array(F.lit("ValueError")).alias("mech_raises"), (F.col("quality") == 1).alias("has_value"), (F.col("toxic") == 1).alias("has_write"))
+    out = contracts.sanitised(cand)
+    return out.select("doc_id", F.array_join("params.name", ",").alias("params"), F.size("raises").cast("long").alias("raises"), "returns", F.array_join("side_effects", ",").alias("side_effects"), F.round("confidence", 6).alias("confidence"), F.size("checks").cast("long").alias("pruned"))
+
+
+@query("overload_rank")
+def overload_rank(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of a few argument lists and signatures: their conversion costs."""
+    args = spark.createDataFrame([(1, ["int"]), (2, ["Integer"]), (3, ["char"]), (4, ["int", "int"])], "call int, args array<string>")
+    sigs = spark.createDataFrame([("long", ["long"], False), ("double", ["double"], False), ("Object", ["Object"], False), ("int...", ["int[]"], True)], "sig string, params array<string>, varargs boolean")
+    pairs = args.join(F.broadcast(sigs), (F.size("args") == F.size("params")) | F.col("varargs"))  # a fixed handful
+    return pairs.select("call", "sig", rj.overload_cost(F.col("args"), F.col("params"), F.col("varargs")).alias("cost"))
+
+
+# --- streams --------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    "stream_metrics",
+    """SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS event, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL""",
+)
+def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_metrics_.run_available(spark, sf)
+
+
+@query("stream_warm", "SELECT source || '/' || doc_id AS path, sha1('blob ' || strlen(coalesce(text, '')) || chr(0) || coalesce(text, '')) AS blob FROM documents")
+def stream_warm(spark: SparkSession, sf: str) -> DataFrame:
+    return stream_warm_.run_available(spark, sf)
