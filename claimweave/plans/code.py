@@ -17,6 +17,7 @@ from claimweave.plans.registry import query
 from claimweave.sources.corpora import table
 from claimweave.streaming import metrics as stream_metrics_
 from claimweave.streaming import warm as stream_warm_
+from claimweave.tables import settled
 
 _MAIN = ["from pkg.c{c} import helper", "import os", "LIMIT = {o}", "def main(a, b=1):", "    helper(a)", "    local()", "    missing()", "    os.getenv('KEY_{k}')", "    return LIMIT", "def local():", "    pass", ""]
 
@@ -47,7 +48,7 @@ def _fn(path: str, name: str) -> str:
 
 @query("python_functions", f"WITH {_PY_FNS} SELECT path, qualname, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end, {_fn('path', 'qualname')} AS claim_id FROM fns")
 def python_functions(spark: SparkSession, sf: str) -> DataFrame:
-    r = python_rows(python_files(spark, sf)).where("kind = 'function'")
+    r = settled(python_rows(python_files(spark, sf))).where("kind = 'function'")
     ids = rp.stable_id("function", "path", "qualname")
     return r.select("path", "qualname", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), ids.alias("claim_id"))
 
@@ -63,7 +64,7 @@ SELECT source_id, target_id, 'claim_edge_' || substr(sha256(source_id || chr(0)
 )
 def python_calls(spark: SparkSession, sf: str) -> DataFrame:
     files = python_files(spark, sf)
-    return rp.calls(python_rows(files), files)[0].select("source_id", "target_id", "edge_id", "resolution")
+    return rp.calls(settled(python_rows(files)), files)[0].select("source_id", "target_id", "edge_id", "resolution")
 
 
 @query(
@@ -73,7 +74,7 @@ UNION ALL SELECT {_O}, 'main', 'helper', CASE WHEN c_custkey IS NULL THEN 'impor
 )
 def python_unresolved(spark: SparkSession, sf: str) -> DataFrame:
     files = python_files(spark, sf)
-    return rp.calls(python_rows(files), files)[1].select("path", "qualname", "expr", "reason")
+    return rp.calls(settled(python_rows(files)), files)[1].select("path", "qualname", "expr", "reason")
 
 
 @query(
@@ -83,7 +84,7 @@ SELECT path, source_id, target_id, 'claim_read_edge_' || substr(sha256('reads' |
 )
 def python_reads(spark: SparkSession, sf: str) -> DataFrame:
     files = python_files(spark, sf)
-    return rp.declaration_relations(python_rows(files), files, "read").select("path", "source_id", "target_id", "edge_id")
+    return rp.declaration_relations(settled(python_rows(files)), files, "read").select("path", "source_id", "target_id", "edge_id")
 
 
 @query(
@@ -92,7 +93,7 @@ def python_reads(spark: SparkSession, sf: str) -> DataFrame:
 SELECT source_id, env_name, 'claim_env_' || substr(sha256('env' || chr(0) || env_name), 1, 16) AS target_id, 'claim_env_read_edge_' || substr(sha256('reads_env' || chr(0) || source_id || chr(0) || env_name), 1, 16) AS edge_id FROM e""",
 )
 def python_env_reads(spark: SparkSession, sf: str) -> DataFrame:
-    return rp.env_reads(python_rows(python_files(spark, sf))).select("source_id", "env_name", "target_id", "edge_id")
+    return rp.env_reads(settled(python_rows(python_files(spark, sf)))).select("source_id", "env_name", "target_id", "edge_id")
 
 
 # --- Java -----------------------------------------------------------------------------------------------------------------------------
@@ -120,7 +121,7 @@ _JOIN = "orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 5 = 0"
     f"SELECT {_JO} AS path, 'O' || o_orderkey AS qualname, {_java('class', _JO, chr(39) + 'O' + chr(39) + ' || o_orderkey')} AS node_id FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT {_JC}, 'C' || c_custkey, {_java('class', _JC, chr(39) + 'C' + chr(39) + ' || c_custkey')} FROM customer",
 )
 def java_types(spark: SparkSession, sf: str) -> DataFrame:
-    return rj.types(java_rows(java_files(spark, sf))).select("path", "qualname", "node_id")
+    return rj.types(settled(java_rows(java_files(spark, sf)))).select("path", "qualname", "node_id")
 
 
 @query(
@@ -130,7 +131,7 @@ UNION ALL SELECT {_JO}, 'extends', 'q.C' || o_custkey, NULL, 'external_type' FRO
 UNION ALL SELECT {_JO}, 'implements', NULL, NULL, 'type_not_found' FROM orders WHERE o_orderkey % 5 = 0""",
 )
 def java_inherits(spark: SparkSession, sf: str) -> DataFrame:
-    return rj.inherits(java_rows(java_files(spark, sf))).select("path", "relation", "fqn", "how", "reason")
+    return rj.inherits(settled(java_rows(java_files(spark, sf)))).select("path", "relation", "fqn", "how", "reason")
 
 
 @query(
@@ -141,7 +142,7 @@ UNION ALL SELECT {_JO}, 'helper', NULL, NULL, 'java_method_not_found' FROM order
 UNION ALL SELECT {_JO}, 'gone', NULL, NULL, 'java_method_not_found' FROM orders WHERE o_orderkey % 5 = 0""",
 )
 def java_calls(spark: SparkSession, sf: str) -> DataFrame:
-    return rj.calls(java_rows(java_files(spark, sf))).select("path", "name", "target_id", "resolution", "reason")
+    return rj.calls(settled(java_rows(java_files(spark, sf)))).select("path", "name", "target_id", "resolution", "reason")
 
 
 @query(
@@ -149,16 +150,16 @@ def java_calls(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT {_JO} AS path, {_java('method', _JO, chr(39) + 'O' + chr(39) + ' || o_orderkey || ' + chr(39) + '.run' + chr(39))} AS source_id, {_java('method', _JC, chr(39) + 'C' + chr(39) + ' || c_custkey || ' + chr(39) + '.run' + chr(39))} AS target_id FROM {_JOIN}",
 )
 def java_overrides(spark: SparkSession, sf: str) -> DataFrame:
-    return rj.overrides(java_rows(java_files(spark, sf))).select("path", "source_id", "target_id")
+    return rj.overrides(settled(java_rows(java_files(spark, sf)))).select("path", "source_id", "target_id")
 
 
 @query("java_field_uses", f"SELECT {_JO} AS path, unnest(['read', 'write']) AS use, 'O' || o_orderkey || '.n' AS target FROM orders WHERE o_orderkey % 5 = 0")
 def java_field_uses(spark: SparkSession, sf: str) -> DataFrame:
-    return rj.field_uses(java_rows(java_files(spark, sf))).select("path", "use", "target")
+    return rj.field_uses(settled(java_rows(java_files(spark, sf)))).select("path", "use", "target")
 
 
 def _sample(spark: SparkSession) -> DataFrame:
-    return java_rows(samples.files(spark, samples.JAVA))
+    return settled(java_rows(samples.files(spark, samples.JAVA)))
 
 
 def _register(name: str, f) -> None:
