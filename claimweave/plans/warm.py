@@ -34,9 +34,12 @@ def _node(df: DataFrame, scope: str, ident, confidence: float, claim, language:
     )
 
 
-def _edge(df: DataFrame, kind: str, path: str, language: str, confidence: float = 0.55, evidence: str = "observed") -> DataFrame:
+def _edge(df: DataFrame, kind: str, path: str, language: str, confidence: float = 0.55, evidence: str = "observed", source: tuple | None = None, target: tuple | None = None) -> DataFrame:
+    """Claims of edges. source and target: (qualname, hash, node kind) of what the edge is bound to on either side, where that is known;
+    an edge that isn't bound to its source's symbol is bound to its file."""
+    ends = [_binding(path, *(source or (None, None, None)), role="source")] + ([_binding("target_path", *target, role="target")] if target else [])
     how = F.col("resolution") if "resolution" in df.columns else F.col("how") if "how" in df.columns else F.lit(None).cast("string")
-    return df.where("edge_id is not null").select(F.col("edge_id").alias("claim_id"), F.concat_ws(" ", "source_id", F.lit(kind), "target_id").alias("claim"), F.lit("architecture").alias("kind"), F.lit("cross-repo").alias("scope"), F.array(_binding(path, role="source")).alias("bindings"), F.lit("git").alias("provenance"), F.lit(evidence).alias("evidence"), F.lit(confidence).alias("confidence"), F.col(path).alias("owner_path"), F.lit(language).alias("language"), F.lit(kind).alias("edge_kind"), "source_id", "target_id", how.alias("resolution")).dropDuplicates(["claim_id"])
+    return df.where("edge_id is not null").select(F.col("edge_id").alias("claim_id"), F.concat_ws(" ", "source_id", F.lit(kind), "target_id").alias("claim"), F.lit("architecture").alias("kind"), F.lit("cross-repo").alias("scope"), F.array(*ends).alias("bindings"), F.lit("git").alias("provenance"), F.lit(evidence).alias("evidence"), F.lit(confidence).alias("confidence"), F.col(path).alias("owner_path"), F.lit(language).alias("language"), F.lit(kind).alias("edge_kind"), "source_id", "target_id", how.alias("resolution")).dropDuplicates(["claim_id"])
 
 
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -75,9 +78,9 @@ def derive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ]
     calls, _ = rp.calls(py, files)
     parts += [
-        _edge(calls, "calls", "path", "python"),
-        _edge(rp.declaration_relations(py, files, "read"), "reads", "path", "python"),
-        _edge(rp.declaration_relations(py, files, "write"), "writes", "path", "python"),
+        _edge(calls, "calls", "path", "python", source=("caller", "caller_hash", "function"), target=("target", "callee_hash", "function")),
+        _edge(rp.declaration_relations(py, files, "read"), "reads", "path", "python", target=("target", "declaration_hash", "declaration")),
+        _edge(rp.declaration_relations(py, files, "write"), "writes", "path", "python", target=("target", "declaration_hash", "declaration")),
         _edge(rp.env_reads(py), "reads_env", "path", "python"),
         _edge(rp.config_reads(py, cf), "reads_config_key", "path", "python"),
         _edge(rj.inherits(jv), "inherits", "path", "java"),
@@ -96,7 +99,9 @@ def derive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         c = settled(conform(p))  # each family by itself, so that no plan holds all of them
         out = c if out is None else out.unionByName(c)
     blobs = files.select(F.col("path").alias("owner_path"), "blob")
-    out = out.join(blobs, "owner_path", "left").withColumn("bindings", F.transform("bindings", lambda b: b.withField("file_blob", F.col("blob")))).drop("blob")
+    out = out.join(blobs, "owner_path", "left")
+    # a target in another file is compared by its symbol's hash alone, so that it needs no blob
+    out = out.withColumn("bindings", F.transform("bindings", lambda b: b.withField("file_blob", F.when(b["path"] == F.col("owner_path"), F.col("blob"))))).drop("blob")
     out = out.withColumn("derivation_version", freshness.expected_version(F.col("owner_path")))
     text = files.select(F.col("path").alias("owner_path"), F.col("text").alias("source"))
     out = out.join(text, "owner_path", "left")
