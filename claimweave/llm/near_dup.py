@@ -30,8 +30,11 @@ RADIUS = 36
 LINKS, BEAM, AUDIT, RECALL = 10, 16, 32, 0.98
 #: A beam that lies within the radius grows to this: beyond it, a row has more near copies in its shard than it needs links to.
 WIDEST = 64
-#: Of the neighbours within the radius, the nearest and a spread of the others become candidates.
+#: Of the neighbours within the radius, the nearest and a spread of the others become candidates. The others are verified too, in a second
+#: pass, unless they are in one class by then.
 NEAR, SPREAD = 6, 3
+#: Rows of a block of the second pass, shingles in it, about; shingles in more documents than this are counted by a matrix product.
+ROWS, GRAINS, HEAVY = 256, 100_000, 32
 
 U = np.uint64
 _RNG = np.random.default_rng(7)
@@ -259,13 +262,13 @@ class SmallWorld:
         return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def candidates(sigs: np.ndarray) -> np.ndarray:
-    """Pairs of rows within RADIUS: for each row the nearest and a spread of the others. While an audit against exact search falls short
+def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within RADIUS: for each row the nearest and a spread of the others; and the rows that have more. While an audit against exact search falls short
     of RECALL, the beam doubles for all rows; a shard that the graph doesn't serve at WIDEST is searched exactly. The beam also doubles for
     rows whose whole beam lies within the radius."""
     n = len(sigs)
     if n < 2:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     graph = SmallWorld(sigs)
     asked = np.linspace(0, n - 1, min(n, AUDIT)).astype(int)
     want = (distance(sigs[asked, None], sigs[None]) <= RADIUS).sum(1)
@@ -280,18 +283,20 @@ def candidates(sigs: np.ndarray) -> np.ndarray:
             search, beam = graph.exact, BEAM
         else:
             beam *= 2
-    pairs, todo = [], np.arange(n)
+    pairs, rest, todo = [], [], np.arange(n)
     while len(todo):
         ids, d = search(sigs[todo], beam)
         ok = (ids >= 0) & (d <= RADIUS) & (ids != todo[:, None])
         more = ((d[:, -1] <= RADIUS) & (ids[:, -1] >= 0)) if beam < min(n, WIDEST) else np.zeros(len(todo), bool)
         for row in np.flatnonzero(~more & ok.any(1)):
             own = ids[row][ok[row]]
-            rest = own[NEAR:]
-            pick = np.concatenate([own[:NEAR], rest[np.linspace(0, len(rest) - 1, min(SPREAD, len(rest))).astype(int)]])
+            far = own[NEAR:]
+            pick = np.concatenate([own[:NEAR], far[np.linspace(0, len(far) - 1, min(SPREAD, len(far))).astype(int)]])
             pairs.append(np.stack([np.full(len(pick), todo[row]), pick], 1))
+            if len(own) > len(pick):
+                rest.append(todo[row])
         todo, beam = todo[more], beam * 2
-    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), np.array(rest, np.int64)
 
 
 def _dealt(nodes: DataFrame) -> DataFrame:
@@ -309,30 +314,35 @@ def _dealt(nodes: DataFrame) -> DataFrame:
     return rows.select((F.col("r") * shards + F.pmod(F.xxhash64("r", "k1", "k2", salt), F.lit(shards))).alias("shard"), "node", "s1", "s2")
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that a shard's graph has found near."""
+def searched(nodes: DataFrame) -> DataFrame:
+    """(shard, a, b): pairs a < b of nodes that a shard's graph has found near, and, with b null, nodes that have more near rows there."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         sigs = np.stack([t["s1"].to_numpy(), t["s2"].to_numpy()], 1).view(U)
         node = t["node"].to_numpy()
         order = np.argsort(node, kind="stable")
-        pairs = node[order][candidates(sigs[order])]
-        pairs = np.unique(np.sort(pairs.reshape(-1, 2), 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pairs, rest = candidates(sigs[order])
+        pairs = np.unique(np.sort(node[order][pairs].reshape(-1, 2), 1), axis=0)
+        b = pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(rest), pa.int64())])
+        return pa.table({"shard": pa.array([t["shard"][0].as_py()] * len(b), pa.int64()), "a": np.concatenate([pairs[:, 0], node[order][rest]]), "b": b})
 
     # Each task's work is far more than its bytes, so that the number of tasks follows the number of shards.
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-nodes.count() * REPLICAS // (SHARD * 8)))
-    found = _dealt(nodes).repartition(parts, "shard").groupBy("shard").applyInArrow(run, "a long, b long")
-    return found.where(F.col("a") < F.col("b")).distinct()
+    return _dealt(nodes).repartition(parts, "shard").groupBy("shard").applyInArrow(run, "shard long, a long, b long")
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the nodes in ends; a repeated row's text comes more than once."""
+    ends = broadcast_if_small(materialise(ends.join(nodes.select("node", "doc_id", "text_key"), "node"), "ends"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return d.join(ends, same_row(d, ends, "doc_id", "text_key")).select("node", "text")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs whose texts' shingle sets have a Jaccard similarity of SIMILAR or more. A node's text goes to its smaller pairs' task once."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    ends = broadcast_if_small(materialise(ends.join(nodes.select("node", "doc_id", "text_key"), "node"), "ends"))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    text = d.join(ends, same_row(d, ends, "doc_id", "text_key")).select("node", "text")
+    text = texts_of(docs, nodes, ends, id_col, text_col)
     left = text.select(F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     right = pairs.join(text, pairs.b == text.node).select("a", "b", "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -359,6 +369,92 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str =
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _sides(t: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Row numbers of a unit's two sides, and whether they are the same: a unit without a side 1 is compared with itself."""
+    side = t["side"].to_numpy()
+    x = np.flatnonzero(side == 0)
+    y = np.flatnonzero(side == 1)
+    return (x, y, False) if len(y) else (x, x, True)
+
+
+def _open(sigs: np.ndarray, label: np.ndarray, x: np.ndarray, y: np.ndarray, same: bool) -> np.ndarray:
+    """Which rows of x are within RADIUS of which of y under another label; of equal sides each pair once."""
+    mask = (distance(sigs[x][:, None], sigs[y][None]) <= RADIUS) & (label[x][:, None] != label[y][None])
+    return mask & (x[:, None] < y[None]) if same else mask
+
+
+def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Numbers of common shingles, len(x) x len(y)."""
+    value, owner = np.concatenate(y), np.repeat(np.arange(len(y)), [len(s) for s in y])
+    order = np.argsort(value, kind="stable")
+    value, owner = value[order], owner[order]
+    mine, row = np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x])
+    a, b = np.searchsorted(value, mine), np.searchsorted(value, mine, "right")
+    light = b - a <= HEAVY
+    n = np.where(light, b - a, 0)
+    at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+    out = np.bincount(np.repeat(row, n) * len(y) + owner[at], minlength=len(x) * len(y)).reshape(len(x), len(y))
+    first, col = np.unique(a[~light], return_inverse=True)
+    last = np.searchsorted(value, value[first], "right")
+    for i in range(0, len(first), 4096):
+        own = (col >= i) & (col < i + 4096)
+        left = np.zeros((len(x), min(4096, len(first) - i)), np.float32)
+        left[row[~light][own], col[own] - i] = 1
+        right = np.zeros((len(y), left.shape[1]), np.float32)
+        n = last[i : i + 4096] - first[i : i + 4096]
+        right[owner[np.repeat(first[i : i + 4096] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(n)), n)] = 1
+        out += (left @ right.T).astype(out.dtype)
+    return out
+
+
+def unsettled(units: DataFrame) -> DataFrame:
+    """The rows of units (unit, side, node, s1, s2, label) that have a pair within RADIUS of different labels in a unit."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        label = t["label"].to_numpy()
+        if (label == label[0]).all():
+            return t.slice(0, 0)
+        sigs = np.stack([t["s1"].to_numpy(), t["s2"].to_numpy()], 1).view(U)
+        x, y, same = _sides(t)
+        keep = np.zeros(len(label), bool)
+        for i in range(0, len(x), ROWS):
+            mask = _open(sigs, label, x[i : i + ROWS], y, same)
+            keep[x[i : i + ROWS]] |= mask.any(1)
+            keep[y] |= mask.any(0)
+        return t.filter(pa.array(keep))
+
+    return units.groupBy("unit").applyInArrow(run, units.schema)
+
+
+def linked(rows: DataFrame) -> DataFrame:
+    """(a, b): labels of unsettled rows (with texts) of which two texts in a unit have a similarity of SIMILAR or more. Every pair within
+    RADIUS of different labels is compared, by the shingles themselves."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        label = t["label"].to_numpy()
+        sigs = np.stack([t["s1"].to_numpy(), t["s2"].to_numpy()], 1).view(U)
+        data, off = buffer_of(t["text"].combine_chunks())
+        sets = []
+        for i, j in steps(off):
+            sets += shingles(*word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+        size = np.array([len(s) for s in sets])
+        x, y, same = _sides(t)
+        step = np.minimum(np.cumsum(size[x]) // GRAINS, len(x)) * len(x) + np.arange(len(x)) // ROWS
+        found = np.zeros((0, 2), np.int64)
+        other = [sets[k] for k in y]
+        for own in np.split(x, np.flatnonzero(np.diff(step)) + 1):
+            mask = _open(sigs, label, own, y, same)
+            if mask.any():
+                both = shared([sets[k] for k in own], other)
+                i, j = np.nonzero(mask & (both >= SIMILAR * (size[own][:, None] + size[y][None] - both) - 1e-9))
+                found = np.unique(np.concatenate([found, np.sort(np.stack([label[own[i]], label[y[j]]], 1), 1)]), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return rows.groupBy("unit").applyInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, label): the smallest node of each connected component, by minimum labels and pointer jumping until nothing changes."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -373,6 +469,21 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
+def _settled(docs: DataFrame, named: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """named with the labels united of which a pair within RADIUS, not among the candidates, is alike."""
+    units = found.where("b is null").select(F.col("shard").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("node"))
+    units = units.join(named.select("node", "s1", "s2", "label"), "node").select("unit", "side", "node", "s1", "s2", "label")
+    rows = materialise(unsettled(units), "unsettled")
+    if not rows.limit(1).count():
+        return named
+    text = texts_of(docs, named, rows.select("node").distinct(), id_col, text_col).dropDuplicates(["node"])
+    more = materialise(linked(rows.join(text, "node")), "more")
+    if not more.limit(1).count():
+        return named
+    top = components(more).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return materialise(named.join(top, "label", "left").withColumn("label", F.coalesce("top", "label")).drop("top"), "named")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, text_key, class_id, class_rows, keep_key.
 
@@ -385,11 +496,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o")
     nodes = marks.groupBy("node").agg(one, F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("mins").alias("mins"), F.count(F.lit(1)).alias("rows"), F.first("n1").alias("n1"))
     nodes = materialise(nodes.select("node", F.col("o.doc_id").alias("doc_id"), F.col("o.text_key").alias("text_key"), "s1", "s2", "mins", "rows", ((F.col("n1") != 0)).alias("worded")), "nodes")
-    pairs = materialise(candidate_pairs(nodes.where("worded")), "pairs")
+    found = materialise(searched(nodes.where("worded")), "found")
+    pairs = materialise(found.where("b is not null").select("a", "b").distinct(), "pairs")
     edges = materialise(verified(docs, nodes, pairs, id_col, text_col), "edges")
-    labels = components(edges)
-    named = nodes.select("node", "doc_id", "text_key", "rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialise(named, "named")
+    named = nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(named.select("node", "doc_id", "text_key", "rows", "s1", "s2", "label"), "named")
+    named = _settled(docs, named, found, id_col, text_col)
     per = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o"), F.sum("rows").alias("class_rows"))
     per = materialise(per.select("label", F.col("o.doc_id").alias("class_id"), F.col("o.text_key").alias("keep_key"), "class_rows"), "classes")
     of_node = materialise(named.select("node", "label").join(per, "label").drop("label"), "members")

@@ -210,6 +210,38 @@ def test_hot_group_of_near_copies(spark):
     assert got[0]["count"] == 2600 and len(got) == 201
 
 
+def passage_pairs(n, pairs, swaps, seed):
+    """n documents of which 235 of 290 words are one passage, and edited copies of the first ones, which have a similarity of 0.8 to 0.9."""
+    r = random.Random(seed)
+    passage = [f"p{r.randrange(900)}" for _ in range(235)]
+    own = [[f"d{k}x{j}" for j in range(55)] for k in range(n)]
+    texts = [" ".join(passage + o) for o in own]
+    for k in range(pairs):
+        texts.append(" ".join(passage + own[k][:-swaps] + [f"c{k}x{j}" for j in range(swaps)]))
+    return texts
+
+
+def assert_pairs_found(spark, n, pairs, swaps, seed):
+    texts = passage_pairs(n, pairs, swaps, seed)
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in (texts[0], texts[1], texts[n])]
+    assert len(sets[0] & sets[1]) < 0.75 * len(sets[0] | sets[1]) and len(sets[0] & sets[2]) >= 0.8 * len(sets[0] | sets[2])
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(d).collect()}
+    assert sum(got[n + k] == got[k] for k in range(pairs)) == pairs
+    assert all(got[k] == k for k in range(n))
+
+
+def test_pairs_among_many_that_are_alike(spark):
+    assert_pairs_found(spark, 700, 100, 25, 3)
+
+
+def test_shared_shingles():
+    g = np.random.default_rng(4)
+    sets = [np.unique(g.integers(0, 60 if k % 2 else 4000, 40).astype(np.uint64)) for k in range(120)]
+    got = near_dup.shared(sets[:50], sets)
+    assert (got == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:50]]).all()
+
+
 def test_small_world_recall():
     g = np.random.default_rng(2)
     base = g.integers(0, 2**63, (300, 2), np.uint64)
