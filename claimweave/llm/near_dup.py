@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.arrow import buffer_of, steps
@@ -22,8 +22,9 @@ from claimweave.session import ship
 SHINGLE, SIMILAR = 5, 0.8
 #: Shards that a document is in; near copies miss one another in all of them with probability (1 - similarity) to this power.
 REPLICAS = 4
-#: Documents of a shard, about. More of them that share a minimum hash are told apart by a second, then dealt at random.
-SHARD = 1024
+#: Documents of a shard, about. More of them that share a minimum hash are told apart by a second, then dealt at random; the second pass
+#: compares the whole of such a hot group, by pairs of blocks of so many rows.
+SHARD, PIECE = 1024, 2048
 #: Bits of 128 that candidates may differ in: at similarity 0.8 they differ in 19.4 on average, with a deviation of 4.1.
 RADIUS = 36
 #: Graph neighbours, beam to begin with, queries of a shard that are audited, recall that they must reach.
@@ -299,13 +300,19 @@ def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), np.array(rest, np.int64)
 
 
+def _minima(nodes: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """(node, s1, s2, r, k1, k2, more columns) for each minimum hash of each node, and the hot ones (r, k1, hot)."""
+    rows = nodes.select("node", "s1", "s2", *more, F.posexplode(F.slice("mins", 1, REPLICAS)).alias("r", "k1"), "mins").withColumn("k2", F.element_at("mins", F.col("r") + REPLICAS + 1)).drop("mins")
+    # Heavy keys: at most REPLICAS * n / SHARD.
+    hot = materialise(rows.groupBy("r", "k1").agg(F.count(F.lit(1)).alias("c1")).where(F.col("c1") > SHARD).select("r", "k1", F.lit(True).alias("hot")), "hot1")
+    return rows, broadcast_if_small(hot)
+
+
 def _dealt(nodes: DataFrame) -> DataFrame:
     """(shard, node, s1, s2): each node once for each of its minimum hashes."""
     n = nodes.count()
     shards = max(1, -(-n // SHARD))
-    rows = nodes.select("node", "s1", "s2", F.posexplode(F.slice("mins", 1, REPLICAS)).alias("r", "k1"), "mins").withColumn("k2", F.element_at("mins", F.col("r") + REPLICAS + 1)).drop("mins")
-    # Heavy keys: at most REPLICAS * n / SHARD.
-    hot1 = broadcast_if_small(materialise(rows.groupBy("r", "k1").agg(F.count(F.lit(1)).alias("c1")).where(F.col("c1") > SHARD).select("r", "k1", F.lit(True).alias("hot")), "hot1"))
+    rows, hot1 = _minima(nodes)
     rows = rows.join(hot1, ["r", "k1"], "left").withColumn("k2", F.when(F.col("hot"), F.col("k2")).otherwise(F.lit(0)))
     hot2 = rows.where("hot").groupBy("r", "k1", "k2").agg(F.count(F.lit(1)).alias("c2")).where(F.col("c2") > SHARD)
     hot2 = broadcast_if_small(materialise(hot2.select("r", "k1", "k2", F.ceil(F.col("c2") / SHARD).cast("int").alias("deal")), "hot2"))
@@ -469,10 +476,27 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
+def _blocks(named: DataFrame) -> DataFrame:
+    """Units of all pairs of blocks of each hot group of a minimum hash. Blocks are cut in the order of labels, so that pairs of blocks of one
+    label, such as copies of a text, need no comparison."""
+    rows, hot = _minima(named, "label")
+    rows = rows.join(hot, ["r", "k1"]).select("r", "k1", "node", "s1", "s2", "label")
+    order = Window.partitionBy("r", "k1").orderBy("label", "node")
+    rows = materialise(rows.withColumn("i", F.floor((F.row_number().over(order) - 1) / PIECE)), "pieces")
+    per = materialise(rows.groupBy("r", "k1", "i").agg(F.min("label").alias("low"), F.max("label").alias("high")), "blocks")
+    other = per.select("r", "k1", F.col("i").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    both = per.join(other, ["r", "k1"]).where((F.col("i") <= F.col("j")) & (F.least("low", "low_j") < F.greatest("high", "high_j")))
+    both = both.select("r", "k1", "i", "j", F.xxhash64("r", "k1", "i", "j").alias("unit"))
+    ends = both.select("r", "k1", "i", "unit", F.lit(0).alias("side")).union(both.where("i < j").select("r", "k1", "j", "unit", F.lit(1)))
+    return rows.join(broadcast_if_small(materialise(ends, "block_pairs")), ["r", "k1", "i"]).select("unit", "side", "node", "s1", "s2", "label")
+
+
 def _settled(docs: DataFrame, named: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """named with the labels united of which a pair within RADIUS, not among the candidates, is alike."""
+    """named with the labels united of which a pair within RADIUS, not among the candidates, is alike: in the shards, and in the groups of
+    hot minimum hashes, of which a shard has but a piece."""
     units = found.where("b is null").select(F.col("shard").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("node"))
     units = units.join(named.select("node", "s1", "s2", "label"), "node").select("unit", "side", "node", "s1", "s2", "label")
+    units = units.unionByName(_blocks(named.where("worded")))
     rows = materialise(unsettled(units), "unsettled")
     if not rows.limit(1).count():
         return named
@@ -500,7 +524,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = materialise(found.where("b is not null").select("a", "b").distinct(), "pairs")
     edges = materialise(verified(docs, nodes, pairs, id_col, text_col), "edges")
     named = nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialise(named.select("node", "doc_id", "text_key", "rows", "s1", "s2", "label"), "named")
+    named = materialise(named.select("node", "doc_id", "text_key", "rows", "s1", "s2", "mins", "worded", "label"), "named")
     named = _settled(docs, named, found, id_col, text_col)
     per = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o"), F.sum("rows").alias("class_rows"))
     per = materialise(per.select("label", F.col("o.doc_id").alias("class_id"), F.col("o.text_key").alias("keep_key"), "class_rows"), "classes")

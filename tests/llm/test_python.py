@@ -235,6 +235,10 @@ def test_pairs_among_many_that_are_alike(spark):
     assert_pairs_found(spark, 700, 100, 25, 3)
 
 
+def test_pairs_in_a_hot_group(spark):
+    assert_pairs_found(spark, 2600, 60, 20, 6)
+
+
 def test_shared_shingles():
     g = np.random.default_rng(4)
     sets = [np.unique(g.integers(0, 60 if k % 2 else 4000, 40).astype(np.uint64)) for k in range(120)]
