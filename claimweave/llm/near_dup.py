@@ -29,7 +29,7 @@ SHARD, PIECE = 1024, 2048
 RADIUS = 36
 #: Graph neighbours, beam to begin with, queries of a shard that are audited, recall that they must reach.
 LINKS, BEAM, AUDIT, RECALL = 10, 16, 32, 0.98
-#: A beam that lies within the radius grows to this: beyond it, a row has more near copies in its shard than it needs links to.
+#: A beam that lies within the radius grows to this; beyond it, the row is compared with its whole shard.
 WIDEST = 64
 #: Of the neighbours within the radius, the nearest and a spread of the others become candidates. The others are verified too, in a second
 #: pass, unless they are in one class by then.
@@ -266,7 +266,7 @@ class SmallWorld:
 def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows within RADIUS: for each row the nearest and a spread of the others; and the rows that have more. While an audit against exact search falls short
     of RECALL, the beam doubles for all rows; a shard that the graph doesn't serve at WIDEST is searched exactly. The beam also doubles for
-    rows whose whole beam lies within the radius."""
+    rows whose whole beam lies within the radius, until it ends outside or is the shard."""
     n = len(sigs)
     if n < 2:
         return np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
@@ -286,17 +286,21 @@ def candidates(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             beam *= 2
     pairs, rest, todo = [], [], np.arange(n)
     while len(todo):
-        ids, d = search(sigs[todo], beam)
-        ok = (ids >= 0) & (d <= RADIUS) & (ids != todo[:, None])
-        more = ((d[:, -1] <= RADIUS) & (ids[:, -1] >= 0)) if beam < min(n, WIDEST) else np.zeros(len(todo), bool)
+        if beam > WIDEST:
+            search, beam = graph.exact, n
+        now, later = (todo[:ROWS], todo[ROWS:]) if beam == n else (todo, todo[:0])  # a row's beam may be the shard
+        ids, d = search(sigs[now], beam)
+        ok = (ids >= 0) & (d <= RADIUS) & (ids != now[:, None])
+        more = (d[:, -1] <= RADIUS) & (ids[:, -1] >= 0) if beam < n else np.zeros(len(now), bool)
         for row in np.flatnonzero(~more & ok.any(1)):
             own = ids[row][ok[row]]
             far = own[NEAR:]
             pick = np.concatenate([own[:NEAR], far[np.linspace(0, len(far) - 1, min(SPREAD, len(far))).astype(int)]])
-            pairs.append(np.stack([np.full(len(pick), todo[row]), pick], 1))
+            pairs.append(np.stack([np.full(len(pick), now[row]), pick], 1))
             if len(own) > len(pick):
-                rest.append(todo[row])
-        todo, beam = todo[more], beam * 2
+                rest.append(now[row])
+        todo = np.concatenate([now[more], later])
+        beam = beam if beam == n else min(2 * beam, n)
     return np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64), np.array(rest, np.int64)
 
 

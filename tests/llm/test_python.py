@@ -239,6 +239,23 @@ def test_pairs_in_a_hot_group(spark):
     assert_pairs_found(spark, 2600, 60, 20, 6)
 
 
+def test_versions_in_many_copies():
+    g = np.random.default_rng(8)
+
+    def flipped(sig, bits):
+        out = sig.copy()
+        for k in g.choice(128, bits, False):
+            out[k // 64] ^= np.uint64(1) << np.uint64(k % 64)
+        return out
+
+    first = g.integers(0, 2**63, 2, np.uint64)
+    second = flipped(first, 18)
+    sigs = np.stack([flipped(v, 5) for v in (first, second) for _ in range(100)] + [g.integers(0, 2**63, 2, np.uint64) for _ in range(300)])
+    pairs, rest = near_dup.candidates(sigs)
+    across = (pairs < 100).any(1) & ((pairs >= 100) & (pairs < 200)).any(1)
+    assert across.sum() >= 100 and set(rest) == set(range(200))
+
+
 def test_shared_shingles():
     g = np.random.default_rng(4)
     sets = [np.unique(g.integers(0, 60 if k % 2 else 4000, 40).astype(np.uint64)) for k in range(120)]
