@@ -4,7 +4,7 @@ the disclosure thresholds are generalised or removed along with the entities."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import LOWER, UPPER, broadcast_if_small, materialise, same_row, table
@@ -123,11 +123,26 @@ def disclosures(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame
     return out.select("entity", "term", "disclosure").where(F.col("disclosure") >= GENERALISE)
 
 
+def _everywhere(src: DataFrame, some: DataFrame, reveal: DataFrame) -> DataFrame:
+    """(doc_id, text_key, s, e, disclosure): the terms of reveal in the whole texts of the documents that hold the entity, but for those
+    inside an entity."""
+    held = some.select("doc_id", "text_key", "base", F.explode(F.array_distinct(F.col("base.entity"))).alias("entity")).join(reveal, "entity")
+    held = materialise(held.groupBy("doc_id", "text_key", "term").agg(F.max("disclosure").alias("disclosure"), F.first("base").alias("base")), "held")
+    keys = held.select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk")).distinct()
+    text = src.join(keys, src["doc_id"].eqNullSafe(keys["id"]) & (src["text_key"] == keys["tk"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    part = text.select("doc_id", "text_key", F.posexplode(located("text", TERM, F.lit(True))).alias("i", "z")).select("doc_id", "text_key", "i", F.col("z.m").alias("m"), F.char_length("z.gap").alias("gap"))
+    so_far = Window.partitionBy("doc_id", "text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    word = part.withColumn("e", F.sum(F.col("gap") + F.coalesce(F.char_length("m"), F.lit(0))).over(so_far).cast("int")).where("m is not null")
+    word = word.select("doc_id", "text_key", F.translate("m", UPPER, LOWER).alias("term"), (F.col("e") - F.char_length("m")).alias("s"), "e")
+    both = word.join(held, same_row(word, held, "doc_id", "text_key", "term")).select(word.doc_id, word.text_key, "s", "e", "disclosure", "base")
+    return both.where(~F.exists("base", lambda x: (x["s"] <= F.col("s")) & (F.col("e") <= x["e"]))).drop("base")
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, text_key, base (see base_spans) and terms, array<struct<s,k,e,kind,disclosure>>, by start.
 
     A null text is empty. Repeated rows (equal id and text) get equal results; rows that share an id but not the text are told apart by
-    a hash of the text. Terms are looked at only in documents that hold the entity which they reveal, so a document without entities
+    a hash of the text. Terms are learned near entities and marked in the whole of the documents that hold the entity which they reveal, so a document without entities
     keeps its whole text.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -135,7 +150,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     some = base.where(F.size("base") > 0)
     terms = materialise(_terms(some), "near")
     reveal = broadcast_if_small(materialise(disclosures(src, some, terms), "disclosures"))
-    hit = terms.join(reveal, ["entity", "term"]).groupBy("doc_id", "text_key", "s", "e").agg(F.max("disclosure").alias("disclosure"))
+    near = terms.join(reveal, ["entity", "term"]).select("doc_id", "text_key", "s", "e", "disclosure")
+    hit = near.unionByName(_everywhere(src, some, reveal)).groupBy("doc_id", "text_key", "s", "e").agg(F.max("disclosure").alias("disclosure"))
     one = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.col("e"), F.lit("term").alias("kind"), F.col("disclosure"))
     hit = hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(one)).alias("terms"))
     none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,disclosure:double>>")

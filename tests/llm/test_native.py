@@ -59,6 +59,18 @@ def test_pii_terms_that_disclose(spark):
     assert all(clean[i] == t for i, t in other)
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    owner = [(100 + i, f"note {i} from zanzibarian desk ask boss@corp.org about item {i} {'and so on ' * 20} é Zanzibarian {i}") for i in range(6)]
+    other = [(200 + i, f"note {i} from the desk about item {i} and so on") for i in range(60)]
+    d = spark.createDataFrame(owner + other, "doc_id long, text string")
+    found = pii.find_pii(d)
+    clean = {r.doc_id: r.text for r in pii.sanitised(d, found).collect()}
+    assert all("zanzibarian" not in clean[i].lower() and "[EMAIL]" in clean[i] for i, _ in owner)
+    text = dict(owner)
+    terms = {r.doc_id: [text[r.doc_id][x.s : x.e] for x in r.terms] for r in found.collect() if r.doc_id < 200}
+    assert all(x.count("zanzibarian") == 1 and x.count("Zanzibarian") == 1 and "boss" not in x for x in terms.values())
+
+
 def test_line_dedup(spark):
     shared, rare = "  This Line is shared by many documents \t", "A line that only two documents have"
     more = [(30 + i, f"own {i}\n{shared if i % 2 else shared.upper()}\nshort\n{rare if i < 2 else ''}") for i in range(5)] + [(40, f"{shared}\n{shared}\n")]
