@@ -1,5 +1,5 @@
-"""Line dedup (4), native: hashes of lines are range-partitioned with a secondary sort by document and position, first occurrences
-are streamed off the sorted runs, and the result is a run-length compressed keep bitmap per document instead of text."""
+"""Line dedup (4), native: hashes of lines are range-partitioned with a secondary sort by document and position; an aggregate over
+the ranges finds each line's count and largest document, in place of a stream off sorted runs, and the result is a run-length compressed keep bitmap per document instead of text."""
 
 from __future__ import annotations
 
