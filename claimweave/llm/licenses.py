@@ -256,6 +256,15 @@ def rules() -> tuple[list[tuple[int, str, float, re.Pattern]], ahocorasick.Autom
     return made, auto
 
 
+def _word_numbers(norm: str, spots: set[int]) -> dict[int, int]:
+    """The spaces of norm before each of the places, counted in one pass."""
+    out, at, n = {}, 0, 0
+    for spot in sorted(spots):
+        n += norm.count(" ", at, spot)
+        out[spot], at = n, spot
+    return out
+
+
 _SEPARATE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -268,7 +277,7 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
     for phrase, label in PHRASES:
         at = norm.find(f" {phrase} ")
         while at >= 0:
-            base.append((norm.count(" ", 0, at), label))
+            base.append((at, label))
             at = norm.find(f" {phrase} ", at + 1)
     made, auto = rules()
     opened = sorted({r for _, own in auto.iter(norm) for r in own})
@@ -283,7 +292,8 @@ def scan(text: str | None) -> tuple[int, list[tuple[int, str]], list[tuple[int,
         if not any(g[2] <= f[2] and f[3] <= g[3] for b in range(at - reach, at + 1) for g in kept.get(b, ())):
             kept.setdefault(at, []).append(f)
     hits = sorted((f for own in kept.values() for f in own), key=lambda f: (f[2], f[3]))
-    return len(words), sorted(base), [(norm.count(" ", 0, s - 1), norm.count(" ", 0, e), label, score) for _, _, s, e, label, score in hits]
+    number = _word_numbers(norm, {at for at, _ in base} | {s - 1 for _, _, s, _, _, _ in hits} | {e for _, _, _, e, _, _ in hits})
+    return len(words), sorted((number[at], label) for at, label in base), [(number[s - 1], number[e], label, score) for _, _, s, e, label, score in hits]
 
 
 FOUND = ArrayType(StructType([StructField("first", LongType()), StructField("last", LongType()), StructField("label", StringType()), StructField("score", DoubleType())]))
