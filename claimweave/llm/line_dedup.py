@@ -1,9 +1,10 @@
-"""Line dedup (4), native: hashes of lines are range-partitioned with a secondary sort by document and position; an aggregate over
-the ranges finds each line's count and largest document, in place of a stream off sorted runs, and the result is a run-length compressed keep bitmap per document instead of text."""
+"""Line dedup (4), native: hashes of lines are range-partitioned with a secondary sort by document and position; the first occurrence of
+each line in each document is streamed off the sorted runs, and the result is a run-length compressed keep bitmap per document instead
+of text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import ascii_lower, broadcast_if_small, materialise, same_row, table
@@ -28,10 +29,11 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("line", F.btrim("line", F.lit(BLANK))).where(F.char_length("line") >= min_points)
     lines = materialise(rows.select("doc_id", "text_key", "n_lines", "pos", F.unhex(F.md5(ascii_lower(F.col("line")))).alias("h")), "lines")
 
-    # Sorted runs: a hot line spreads over as many ranges as it needs, since doc_id is part of the range key.
+    # Sorted runs: a hot line spreads over as many ranges as it needs, since doc_id is part of the range key. The window asks for rows of
+    # (h, doc_id) together and in order of pos, which the runs are, so it neither shuffles nor sorts anew.
     runs = lines.select("h", "doc_id", "pos").repartitionByRange("h", "doc_id").sortWithinPartitions("h", "doc_id", "pos")
-    first = runs.groupBy("h", "doc_id").agg(F.min("pos").alias("first_pos"))
-    # One row per (line, document) is left; the count and the largest document are combined before they are shuffled.
+    first = runs.withColumn("nth", F.row_number().over(Window.partitionBy("h", "doc_id").orderBy("pos"))).where("nth = 1")
+    # One row per (line, document) is left, the largest document of a line last; both are combined before they are shuffled.
     often = first.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= min_docs)
     often = broadcast_if_small(materialise(often.select("h", "keeper"), "often"))
 
