@@ -21,9 +21,10 @@ GRAMS = 1 << 3 * BITS
 BLOCK = 64  #: bytes of a block, the unit that one language has
 SMOOTH = 0.2
 ROUNDS = 12  #: of expectation-maximisation
-MOST = 4  #: languages that a document's set may have
 #: Half of this many log(blocks) must be gained in log-likelihood by each further language.
 PENALTY = 12.0
+#: Mean log-probability of a trigram below which a text is in none of the languages; as if drawn from 60,000 at random.
+LEAST = -11.0
 
 _CLASS = np.zeros(256, np.uint32)
 _CLASS[97:123] = np.arange(1, 27)
@@ -110,13 +111,16 @@ def mixtures(data: np.ndarray, off: np.ndarray, logp: np.ndarray) -> tuple[np.nd
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
     top = score.max(1, keepdims=True)
     like = np.exp(score - top)
-    full, _ = _fit(like, first, doc, np.ones((len(off) - 1, logp.shape[1])))
+    full, most = _fit(like, first, doc, np.ones((len(off) - 1, logp.shape[1])))
+    cost = 0.5 * PENALTY * np.log(np.diff(first) + 1.0)
     total = np.add.reduceat(score, first[:-1], 0)
     rank = np.argsort(np.argsort(-np.round(full, 6) - 1e-9 * total / np.abs(total).max(1, keepdims=True).clip(1), 1, "stable"), 1, "stable")
     best, value = None, None
-    for m in range(1, min(MOST, logp.shape[1]) + 1):
+    for m in range(1, logp.shape[1] + 1):
+        if best is not None and not (most - (m - 1) * cost > value).any():
+            break  # no larger set can pay for its size: none is likelier than the unrestricted fit
         p, ll = _fit(like, first, doc, (rank < m).astype(float))
-        v = ll - 0.5 * PENALTY * (m - 1) * np.log(np.diff(first) + 1.0)
+        v = ll - (m - 1) * cost
         if best is None:
             # of single languages, the one of the highest likelihood
             best = np.eye(logp.shape[1])[total.argmax(1)]
@@ -141,6 +145,24 @@ def _tell(texts: pa.Array, labels: list[str], logp: np.ndarray) -> tuple[np.ndar
     return lang, score, sets
 
 
+def _fits(texts: pa.Array, labels: list[str], logp: np.ndarray, least: float) -> np.ndarray:
+    """Which texts have letters and, under their mixture, a mean log-probability of a trigram of at least `least`."""
+    out = np.zeros(len(texts), bool)
+    has = np.flatnonzero(pc.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)) if labels else []
+    if len(has):
+        data, off = buffer_of(pc.utf8_lower(texts.take(pa.array(has))))
+        for i, j in steps(off):
+            own = off[i : j + 1] - off[i]
+            score, first = _block_scores(data[off[i] : off[j]], own, logp)
+            p, _ = mixtures(data[off[i] : off[j]], own, logp)
+            doc = np.repeat(np.arange(j - i), np.diff(first))
+            top = score.max(1, keepdims=True)
+            like = np.add.reduceat(np.log(np.maximum((p[doc] * np.exp(score - top)).sum(1), 1e-300)) + top[:, 0], first[:-1])
+            grams = np.add.reduceat((trigrams(data[off[i] : off[j]]) != 0).astype(np.int64), own[:-1])
+            out[has[i:j]] = like >= least * np.maximum(grams, 1)
+    return out
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """docs with lang_pred, lang_score (that language's proportion of the text) and lang_set (label:proportion of the chosen set).
 
@@ -170,10 +192,20 @@ def training(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull() & ~held_out())
 
 
-def accepted(docs: DataFrame, least: float = 0.34) -> DataFrame:
-    """docs without the rows whose language can't be told: no letters, or no language with that share of the text."""
-    out = predict(docs, learn(training(docs)))
-    return out.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= least)).select(*docs.columns)
+def accepted(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs without the rows whose language can't be told: without letters, or under `least` in the mean log-probability of a trigram
+    under the chosen mixture. A text in several languages is kept, however small the share of each. Null and empty texts go, repeated
+    rows are treated alike, an empty table gives an empty result; columns of any name stay as they are."""
+    labels, logp = model = learn(training(docs))
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS floats a label
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_fits(b.column(at), *sent.value, least)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
