@@ -133,9 +133,13 @@ def chunk_store(docs: DataFrame, lists: DataFrame, text_col: str = "text") -> tu
     """The stored chunks, each once: (own, shared). own has (key, seq, z) of chunks that one payload has; shared has (digest, z) of
     chunks that several payloads or places have, whose owner is the smallest (key, seq)."""
     owner = lists.groupBy("digest").agg(F.min(F.struct("key", "seq")).alias("o"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    owner = broadcast_if_small(materialise(owner.select("digest", F.col("o.key").alias("o_key"), F.col("o.seq").alias("o_seq")), "owners"))
-    kept = _chunks(docs, text_col, True).join(owner, "digest", "left")
-    own = kept.where(F.col("o_key").isNull()).select("key", "seq", "z")
+    owner = materialise(owner.select("digest", F.col("o.key").alias("o_key"), F.col("o.seq").alias("o_seq")), "owners")
+    keys = broadcast_if_small(materialise(owner.select(F.col("o_key").alias("__key")).distinct(), "owner_keys"))
+    owner = broadcast_if_small(owner)
+    own = _chunks(docs, text_col, True).join(owner, "digest", "left_anti").select("key", "seq", "z")
+    # Only the texts that own a shared chunk are cut once more.
+    few = docs.join(keys, payload_key(padded(F.col(text_col))) == keys["__key"], "left_semi")
+    kept = _chunks(few, text_col, True).join(owner, "digest")
     shared = kept.where((F.col("key") == F.col("o_key")) & (F.col("seq") == F.col("o_seq"))).select("digest", "z")
     return own, materialise(shared, "shared").dropDuplicates(["digest"])
 
