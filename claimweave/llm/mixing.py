@@ -12,6 +12,8 @@ from claimweave.llm.common import broadcast_if_small, materialise, table
 TEMPERATURE, EPOCHS, SEED = 0.5, 1.0, "mix-1"
 #: Rates above this are drawn as a sum of equal parts, since exp(-rate) must not underflow.
 PART = 500.0
+#: The largest number that uniform gives.
+ALL = 1 - 2.0**-53
 
 
 def uniform(*parts: Column) -> Column:
@@ -19,22 +21,34 @@ def uniform(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("long") + 0.5) / float(2**52)
 
 
-def poisson_inverse(u: Column, rate: Column) -> Column:
-    """The smallest k whose Poisson distribution function reaches u. The loop ends 12 deviations and 30 beyond the mean."""
+def poisson_table(rate: Column) -> Column:
+    """The Poisson distribution function at 0, 1, ...: up to 12 deviations and 30 beyond the mean, or to where it is all but 1. Made once
+    for a rate, not for a draw."""
     last = F.ceil(rate + F.sqrt(rate) * 12 + 30).cast("int")
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k"))
+    start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
     def step(a: Column, j: Column) -> Column:
         p = a["p"] * rate / j
-        return F.struct(p.alias("p"), F.when(u > a["c"], a["c"] + p).otherwise(a["c"]).alias("c"), F.when(u > a["c"], a["k"] + 1).otherwise(a["k"]).alias("k"))
+        c = F.element_at(a["c"], -1)
+        return F.struct(p.alias("p"), F.when(c < ALL, F.concat(a["c"], F.array(c + p))).otherwise(a["c"]).alias("c"))
 
-    return F.aggregate(F.sequence(F.lit(1), last), start, step)["k"]
+    return F.aggregate(F.sequence(F.lit(1), last), start, step)["c"]
 
 
-def poisson_count(rate: Column, *parts: Column) -> Column:
-    """A Poisson draw of any mean, seeded by the hash of the parts; 0 for a rate of 0."""
-    n = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda a, i: a + poisson_inverse(uniform(*parts, i.cast("string")), rate / n))
+def poisson_inverse(u: Column, table_: Column) -> Column:
+    """The smallest k whose Poisson distribution function reaches u: so many entries of the table are below u."""
+    return F.size(F.filter(table_, lambda c: c < u))
+
+
+def poisson_parts(rate: Column) -> Column:
+    """Draws that make up one of this rate."""
+    return F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
+
+
+def poisson_count(table_: Column, parts: Column, *seed: Column) -> Column:
+    """A Poisson draw of any mean, seeded by the hash of the seed: the sum of `parts` draws from the table; 0 for a rate of 0."""
+    rest = F.aggregate(F.sequence(F.lit(2), parts), F.lit(0), lambda a, i: a + poisson_inverse(uniform(*seed, i.cast("string")), table_))
+    return poisson_inverse(uniform(*seed, F.lit("1")), table_) + F.when(parts > 1, rest).otherwise(0)
 
 
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, source_col: str = "source", text_col: str = "text", epochs: float = EPOCHS, temperature: float = TEMPERATURE) -> DataFrame:
@@ -64,14 +78,26 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED, id_col: str = "doc_
     Draws depend on seed and doc_id alone: rows that repeat a doc_id are drawn alike, a null doc_id counts as the word null. Columns of
     those four names are replaced.
     """
-    rates = broadcast_if_small(materialise(rates.select(F.col("source").alias("__source"), "rate"), "rates"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     docs = docs.drop("rate", "n_copies", "copy_no", "shuffle_key")
-    d = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"])).drop("__source")
-    d = d.withColumn("n_copies", poisson_count(F.col("rate"), F.lit(seed), key)).where(F.col("n_copies") > 0)
-    d = d.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-place"), key, F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
-    return d.withColumn("shuffle_key", place).orderBy("shuffle_key", "copy_no")
+    return drawn(docs, rates, seed, id_col, source_col).withColumnsRenamed({"__rate": "rate", "__n_copies": "n_copies", "__copy_no": "copy_no", "__shuffle_key": "shuffle_key"})
+
+
+def drawn(docs: DataFrame, rates: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """mix, but with columns named __rate, __n_copies, __copy_no and __shuffle_key; docs keep all of theirs.
+
+    Shuffle keys are uniform, so the ranges of the output's partitions are known without sampling, and each draw is made once.
+    """
+    rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
+    parts = poisson_parts(F.col("__rate"))
+    rates = broadcast_if_small(materialise(rates.withColumn("__parts", parts).withColumn("__table", poisson_table(F.col("__rate") / parts)), "rates"))
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    d = docs.join(rates, docs[source_col].eqNullSafe(rates["__source"]))
+    d = d.withColumn("__n_copies", poisson_count(F.col("__table"), F.col("__parts"), F.lit(seed), key)).where(F.col("__n_copies") > 0)
+    d = d.drop("__source", "__parts", "__table").withColumn("__copy_no", F.explode(F.sequence(F.lit(1), F.col("__n_copies"))))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed + "-place"), key, F.col("__copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.withColumn("__shuffle_key", place)
+    return d.repartitionById(n, F.floor(F.col("__shuffle_key") / F.lit(2.0**60) * n).cast("int")).sortWithinPartitions("__shuffle_key", "__copy_no")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
