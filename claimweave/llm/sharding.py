@@ -10,9 +10,11 @@ from pyspark.sql.window import Window
 
 from claimweave.llm.common import materialise, table
 
-#: A group of over 1/HEAVY of a shard in any dimension is packed by itself, in pieces of at most that size; lighter groups are
-#: packed in BUCKETS hashed buckets a shard. So the driver packs at most (3 * 2 * HEAVY + BUCKETS) vectors a shard, at any input size.
-HEAVY, BUCKETS = 64, 192
+#: A group of over 1/HEAVY of a shard in any dimension is packed by itself, lighter groups in BUCKETS hashed buckets a shard, each group
+#: whole. So the driver packs at most 3 * HEAVY + BUCKETS vectors a shard, at any input size; where no group is lighter, groups alone.
+HEAVY, BUCKETS = 1024, 192
+#: A group of over a whole shard is split into pieces of about 1/PIECES of a shard.
+PIECES = 8
 #: A shard's slots are numbered in so many blocks, each by one task.
 BLOCKS = 64
 DIMS = ("bytes", "tokens", "rows")
@@ -35,7 +37,7 @@ def pack(items: np.ndarray, n_shards: int) -> np.ndarray:
         k = int(np.argmax(np.where(fits, score, -np.inf))) if fits.any() else int(np.argmax(free[:, 0]))
         where[i] = k
         free[k] -= size[i]
-    for _ in range(4 * len(items)):
+    for _ in range(min(4 * len(items), 256 * n_shards)):
         lo, hi = int(np.argmax(free[:, 0])), int(np.argmin(free[:, 0]))
         gap = free[lo, 0] - free[hi, 0]
         own = np.flatnonzero((where == hi) & (size[:, 0] < gap) & (size[:, 0] > 0))
@@ -54,12 +56,12 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     """Per row of docs: doc_id, size, text_crc32, tokens, shard, slot. Sizes in bytes of the shards are near equal.
 
     A row's size is its text's UTF-8 bytes (null: none) plus 8; tokens are its words between white space, about. Rows of equal text form a
-    group that stays in one shard unless it is heavy; heavy groups are split into pieces. Repeated rows are rows of their own. A text
-    larger than a shard's share stays whole. An empty table gives an empty result.
+    group that stays in one shard, unless it is larger than a shard in one of the three dimensions; then its rows are dealt into pieces by a hash of doc_id. A text
+    larger than a shard's share stays whole. The result follows from the rows alone, however they are stored; repeated rows are rows of
+    their own, and interchangeable. Null doc_ids are equal and come first. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"),
         F.col(id_col).alias("doc_id"),
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -69,24 +71,23 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     rows = materialise(rows, "sizes")
     groups = materialise(rows.groupBy("grp").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "groups")
     total = groups.agg(*[F.sum(d).alias(d) for d in DIMS]).first()
-    cap = {d: max(1.0, (total[d] or 0) / n_shards) for d in DIMS}
-    share = F.greatest(*[F.col(d) / cap[d] for d in DIMS])
+    share = F.greatest(*[F.col(d) / max(1.0, (total[d] or 0) / n_shards) for d in DIMS])
     # Heavy groups are over 1/HEAVY of a shard in one of three dimensions, so there are at most 3 * n_shards * HEAVY of them.
-    heavy = groups.where((share > 1 / HEAVY) & (F.col("rows") > 1)).select("grp", F.least(F.ceil(share * HEAVY), F.col("rows")).cast("int").alias("pieces"))
+    pieces = F.when((share > 1) & (F.col("rows") > 1), F.least(F.ceil(share * PIECES), F.col("rows"))).otherwise(1).cast("int")
+    heavy = groups.where(share > 1 / HEAVY).select("grp", pieces.alias("pieces"))
     rows = rows.join(F.broadcast(heavy), "grp", "left")
-    # A piece or a bucket is one item of the packing; single rows that are heavy have an item of their own as well.
-    alone = (F.greatest(F.col("size") / cap["bytes"], F.col("tokens") / cap["tokens"]) > 1 / HEAVY) & F.col("pieces").isNull()
-    item = F.when(F.col("pieces").isNotNull(), F.xxhash64("grp", F.pmod(F.xxhash64("rid"), "pieces"))).when(alone, F.xxhash64("grp", F.lit(-1))).otherwise(F.pmod("grp", F.lit(n_shards * BUCKETS)))
-    rows = rows.withColumn("item", item).drop("pieces")
+    # A group, a piece of one or a bucket of groups is one item of the packing.
+    spread = F.xxhash64("grp", F.pmod(F.xxhash64("doc_id", F.lit(3)), "pieces"))
+    rows = rows.withColumn("item", F.when(F.col("pieces") > 1, spread).when(F.col("pieces") == 1, F.col("grp")).otherwise(F.pmod("grp", F.lit(n_shards * BUCKETS)))).drop("pieces")
     sizes = rows.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).orderBy("item").collect()
     where = pack(np.array([[r[d] for d in DIMS] for r in sizes], float).reshape(-1, len(DIMS)), n_shards)
     placed = docs.sparkSession.createDataFrame([(r["item"], int(k)) for r, k in zip(sizes, where, strict=True)], "item long, shard int")
-    rows = rows.join(F.broadcast(placed), "item").withColumn("block", F.pmod(F.xxhash64("rid", F.lit(7)), F.lit(BLOCKS)).cast("int"))
-    rows = materialise(rows.select("rid", "doc_id", "size", "text_crc32", "tokens", "shard", "block"), "placed")
+    rows = rows.join(F.broadcast(placed), "item").withColumn("block", F.pmod(F.xxhash64("doc_id", "grp", F.lit(7)), F.lit(BLOCKS)).cast("int"))
+    rows = materialise(rows.select("grp", "doc_id", "size", "text_crc32", "tokens", "shard", "block"), "placed")
     # Slots: a block's offset from the bounded table of block sizes, plus the place in the block.
     blocks = rows.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
     blocks = blocks.select("shard", "block", (F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).alias("offset"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "rid")) - 1)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "grp")) - 1)
     return rows.join(F.broadcast(blocks), ["shard", "block"]).select("doc_id", "size", "text_crc32", "tokens", "shard", (F.col("offset") + F.col("place")).cast("long").alias("slot"))
 
 
