@@ -1,8 +1,12 @@
-"""Benchmark decontamination (10), native: winnowing. Documents and items keep the smallest k-gram hash of every run of
-`8 - k + 1` k-grams, so any shared span of 8 words shares a fingerprint; candidates are then extended to exact hits."""
+"""Benchmark decontamination (10), native: winnowing. Documents and items keep the smallest k-gram hash, with its position, of every run
+of `8 - k + 1` k-grams, so any shared span of 8 words shares a fingerprint; the hits of the join are extended to exact spans around
+their positions."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,10 @@ from claimweave.llm.common import broadcast_if_small, materialise, same_row, tab
 
 SPAN = 8  #: words of a window
 GRAM = 5  #: words of a fingerprinted k-gram; SPAN - GRAM + 1 of them are one winnowing window
+#: A mark is a hash above PLACE bits of position (Spark's texts have fewer words), so that the least mark is the least hash's first place.
+PLACE = 30
+#: Rows that carry a document's word count through the join of its fingerprints, by so many keys.
+CARRIERS = 1024
 
 
 def _upto(last: Column) -> Column:
@@ -17,34 +25,58 @@ def _upto(last: Column) -> Column:
     return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
-def gram_hashes(words: str, m: int, h=F.xxhash64) -> Column:
-    return F.transform(_upto(F.size(words) - m), lambda i: h(*[F.get(words, i + j) for j in range(m)]))
+def _at(hashes: str, i: Column, m: int) -> list[Column]:
+    return [F.get(hashes, i + j) for j in range(m)]
+
+
+def marks(hashes: str, m: int) -> Column:
+    """The marks of all m-grams of an array of word hashes."""
+    return F.transform(_upto(F.size(hashes) - m), lambda i: F.xxhash64(F.lit(m), *_at(hashes, i, m)).bitwiseAND(F.lit((1 << 63) - (1 << PLACE))).bitwiseOR(i.cast("long")))
 
 
-def winnowed(grams: str) -> Column:
-    """The distinct minima of all windows of SPAN - GRAM + 1 successive hashes."""
+def winnowed(of: str) -> Column:
+    """The distinct minima of all windows of SPAN - GRAM + 1 successive marks."""
     w = SPAN - GRAM + 1
-    return F.array_distinct(F.transform(_upto(F.size(grams) - w), lambda i: F.least(*[F.get(grams, i + j) for j in range(w)])))
+    return F.array_distinct(F.transform(_upto(F.size(of) - w), lambda i: F.least(*_at(of, i, w))))
+
+
+def fingerprint(mark: Column) -> Column:
+    return F.shiftright(mark, PLACE)
 
 
-def _fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
-    """df with fps: winnowed fingerprints for windows of SPAN words, all m-gram hashes for the shorter windows of short items."""
-    df = df.withColumn("grams", gram_hashes("words", GRAM)).withColumn("fps", winnowed("grams")).drop("grams")
-    for m in short:
-        df = df.withColumn("fps", F.array_distinct(F.concat("fps", gram_hashes("words", m))))
-    return df
+def _marked(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """df (with words) with marks: winnowed ones for windows of SPAN words, those of all m-grams for the shorter windows of short items."""
+    df = df.withColumn("__h", F.transform("words", lambda w: F.xxhash64(w)))
+    if SPAN in lengths:
+        df = df.withColumn("__all", marks("__h", GRAM)).withColumn("marks", winnowed("__all")).drop("__all")
+    else:
+        df = df.withColumn("marks", F.array().cast("array<long>"))
+    for m in lengths:
+        if m < SPAN:
+            df = df.withColumn("marks", F.concat("marks", marks("__h", m)))
+    return df.drop("__h")
+
+
+def _window(m: int) -> Callable[[Column], Column]:
+    """Place, length and two independent hashes of the words of the window at a place."""
 
+    def at(i: Column) -> Column:
+        own = _at("words", i, m)
+        return F.struct(i.alias("pos"), F.lit(m).alias("m"), F.xxhash64(*own).alias("ga"), F.hash(*own).alias("gb"))
 
-def _windows(df: DataFrame, lengths: list[int]) -> DataFrame:
-    """df with one row per position and length: pos, m, ga, gb (two independent hashes of the window's words)."""
-    def spots(m: int) -> Column:
-        def at(i: Column) -> Column:
-            own = [F.get("words", i + j) for j in range(m)]
-            return F.struct(i.alias("pos"), F.lit(m).alias("m"), F.xxhash64(*own).alias("ga"), F.hash(*own).alias("gb"))
+    return at
 
-        return F.transform(_upto(F.size("words") - m), at)
 
-    return df.withColumn("spot", F.explode(F.concat(*map(spots, lengths)))).select(*[c for c in df.columns if c != "words"], "spot.*")
+def _extended(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """The windows around the hits of df (words, hits array<struct<p,m>>), a row each: a hit of a winnowed k-gram is in the windows of SPAN words
+    that hold it, that of a short item's window is it."""
+    def around(m: int) -> Column:
+        own = F.transform(F.filter("hits", lambda h: h["m"] == m), lambda h: h["p"])
+        if m == SPAN:
+            own = F.flatten(F.transform(own, lambda p: F.sequence(F.greatest(p - (SPAN - GRAM), F.lit(0)), p)))
+        return F.transform(F.filter(F.array_distinct(own), lambda i: i + m <= F.size("words")), _window(m))
+
+    return df.withColumn("spot", F.explode(F.concat(*map(around, lengths)))).select(*[c for c in df.columns if c not in ("words", "hits")], "spot.*")
 
 
 def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -57,35 +89,33 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", te
     items = bench.select(F.col(item_col).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     items = materialise(items.withColumn("m", F.least(F.size("words"), F.lit(SPAN))), "items")
     lengths = sorted(r.m for r in items.select("m").distinct().collect())  # at most SPAN values
-    short = [m for m in lengths if m < SPAN]
-    fps = None
-    for m in lengths:
-        own = items.where(F.col("m") == m)
-        own = _fingerprints(own, []) if m == SPAN else own.withColumn("fps", gram_hashes("words", m))
-        own = own.select(F.explode("fps").alias("fp"))
-        fps = own if fps is None else fps.unionByName(own)
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), words_of(F.col(text_col)).alias("words"))
-    empty = F.lit(None).cast("long")
-    if fps is None:
-        return src.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.coalesce(empty, F.lit(0)).alias("n_hit"), F.coalesce(empty, F.lit(0)).alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
-    fps = broadcast_if_small(materialise(fps.distinct(), "fps"))
-    wins = None
+    zero = F.coalesce(F.lit(None).cast("long"), F.lit(0))
+    if not lengths:
+        return src.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), zero.alias("n_hit"), zero.alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
+    known, wins = [], []
     for m in lengths:
-        one = _windows(items.where(F.col("m") == m).select("item", "words"), [m])
-        wins = one if wins is None else wins.unionByName(one)
-    wins = materialise(wins.select("item", "m", "ga", "gb").distinct(), "windows")
-
-    # Pass 1: which rows share a fingerprint. All fingerprints of a row are in one task, so the group is combined before the shuffle.
-    marks = _fingerprints(src.withColumn("rid", F.monotonically_increasing_id()), short).select("rid", "doc_id", "text_key", F.size("words").alias("n_words"), F.explode_outer("fps").alias("fp"))
-    marks = marks.join(fps.withColumn("hit", F.lit(True)), "fp", "left")
-    base = materialise(marks.groupBy("rid", "doc_id", "text_key", "n_words").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit")), "candidates")
-
-    # Pass 2: candidates are extended to exact hits.
-    cand = broadcast_if_small(base.where("hit").select("doc_id", "text_key").distinct())
-    near = src.join(cand, same_row(src, cand, "doc_id", "text_key"), "left_semi")
+        own = items.where(F.col("m") == m).drop("m")
+        known.append(_marked(own, [m]).select(F.explode("marks").alias("mark")).select(fingerprint(F.col("mark")).alias("fp"), F.lit(m).alias("m")))
+        wins.append(own.select("item", F.explode(F.transform(_upto(F.size("words") - m), _window(m))).alias("w")).select("item", "w.m", "w.ga", "w.gb"))
+    carriers = docs.sparkSession.range(CARRIERS).select((-1 - F.col("id")).alias("fp"), F.lit(0).alias("m"))
+    fps = broadcast_if_small(materialise(reduce(DataFrame.unionByName, known).distinct().unionByName(carriers), "fps"))
+    wins = materialise(reduce(DataFrame.unionByName, wins).distinct(), "windows")
+
+    # Which fingerprints of a row an item has, and where. Every row comes through by a carrier of its own (negative; fingerprints aren't).
+    carrier = (F.lit(-1) - F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(CARRIERS))).cast("long")
+    rows = _marked(src, lengths).select("doc_id", "text_key", F.size("words").alias("n_words"), F.explode(F.concat(F.array(F.shiftleft(carrier, PLACE)), "marks")).alias("mark"))
+    rows = rows.withColumn("fp", fingerprint(F.col("mark"))).join(fps, "fp")
+    rows = materialise(rows.select("doc_id", "text_key", "n_words", F.col("mark").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("p"), "m"), "hits")
+    base = rows.where("m = 0").select("doc_id", "text_key", "n_words")
+    # The hits of a text are no more than its words. They are extended in the text itself, not beyond the windows that hold them.
+    hits = rows.where("m > 0").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("p", "m")).alias("hits"))
+    hits = broadcast_if_small(materialise(hits, "candidates"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    near = text.join(hits, same_row(text, hits, "doc_id", "text_key")).select(text.doc_id, text.text_key, words_of(F.col("text")).alias("words"), "hits")
     grams = broadcast_if_small(wins.select("m", "ga", "gb").distinct())
-    hits = _windows(near, lengths).join(grams, ["m", "ga", "gb"]).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "m"))).alias("spans"), F.collect_set(F.struct("m", "ga", "gb")).alias("found"))
-    hits = materialise(hits, "hits")
+    hits = _extended(near, lengths).join(grams, ["m", "ga", "gb"]).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "m"))).alias("spans"), F.collect_set(F.struct("m", "ga", "gb")).alias("found"))
+    hits = materialise(hits, "spans")
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["end"], s["pos"] + s["m"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["pos"] + s["m"] - F.greatest(a["end"], s["pos"])).cast("long")).alias("n")))["n"]
     by_item = hits.select("doc_id", "text_key", F.explode("found").alias("g")).select("doc_id", "text_key", "g.*").join(broadcast_if_small(wins), ["m", "ga", "gb"])
     by_item = by_item.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
