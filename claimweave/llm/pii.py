@@ -29,6 +29,8 @@ REACH = 80
 SUPPORT = 3
 #: Shares of an entity's information content from which a term is generalised, and from which it is removed.
 GENERALISE, REMOVE = 0.75, 0.9
+#: A term's class is all terms of its first letters; it stands for a generalised term if it doesn't itself disclose the entity.
+LETTERS = 2
 
 
 def located(text: str, pattern: str, gate: Column) -> Column:
@@ -102,10 +104,11 @@ def _terms(base: DataFrame) -> DataFrame:
 
 
 def disclosures(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame:
-    """(entity, term, disclosure): pairs whose share of the entity's information content reaches GENERALISE.
+    """(entity, term, disclosure, open): pairs whose share of the entity's information content reaches GENERALISE; open, if the term's class does so too.
 
     Probabilities are over documents: PMI(t, e) = log2(N n(t,e) / (df(t) df(e))), disclosure = PMI / log2(N / df(e)).
     """
+    terms = terms.select("entity", "ctx", "doc_id", "text_key", F.explode(F.array("term", class_of(F.col("term")))).alias("term"))
     pairs = terms.groupBy("entity", "term", "ctx").agg(F.min("doc_id").alias("one")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"), F.countDistinct("one").alias("ones")).where(F.col("contexts") >= SUPPORT)
     pairs = materialise(pairs.select("entity", "term"), "pairs")
     both = terms.select("entity", "term", "doc_id", "text_key").join(broadcast_if_small(pairs), ["entity", "term"]).distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
@@ -113,76 +116,91 @@ def disclosures(docs: DataFrame, base: DataFrame, terms: DataFrame) -> DataFrame
     n_docs = docs.count()
     df_e = base.select("doc_id", "text_key", F.explode(F.array_distinct(F.col("base.entity"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= SUPPORT)
     known = broadcast_if_small(materialise(both.select("term").distinct(), "terms"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))).alias("term"))
-    df_t = words.join(known, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    words = F.array_distinct(F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), F.lit(0)))
+    words = docs.select(words.alias("w")).select(F.explode(F.concat("w", F.array_distinct(F.transform("w", class_of)))).alias("term"))
+    # Counted before the join: partial counts are of a task's vocabulary, however many of its terms are known.
+    df_t = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(known, "term")
     out = both.join(df_e, "entity").join(df_t, "term")
     n = F.lit(float(n_docs))
     pmi = F.log2(n * F.col("n_te") / (F.col("n_t").cast("double") * F.col("n_e")))
     content = F.log2(n / F.col("n_e"))
     out = out.withColumn("disclosure", F.when(content > 0, F.least(pmi / content, F.lit(1.0))).otherwise(F.lit(0.0)))
-    return out.select("entity", "term", "disclosure").where(F.col("disclosure") >= GENERALISE)
+    out = materialise(out.select("entity", "term", "disclosure").where(F.col("disclosure") >= GENERALISE), "revealed")
+    kinds = out.where(F.endswith("term", F.lit("*"))).select("entity", F.col("term").alias("kind"), F.lit(True).alias("open"))
+    own = out.where(~F.endswith("term", F.lit("*"))).withColumn("kind", class_of(F.col("term")))
+    return own.join(broadcast_if_small(kinds), ["entity", "kind"], "left").select("entity", "term", "disclosure", F.coalesce("open", F.lit(False)).alias("open"))
+
+
+def class_of(term: Column) -> Column:
+    return F.concat(F.left(term, F.lit(LETTERS)), F.lit("*"))
 
 
 def _everywhere(src: DataFrame, some: DataFrame, reveal: DataFrame) -> DataFrame:
-    """(doc_id, text_key, s, e, disclosure): the terms of reveal in the whole texts of the documents that hold the entity, but for those
+    """(doc_id, text_key, term, s, e, disclosure, open): the terms of reveal in the whole texts of the documents that hold the entity, but for those
     inside an entity."""
     held = some.select("doc_id", "text_key", "base", F.explode(F.array_distinct(F.col("base.entity"))).alias("entity")).join(reveal, "entity")
-    held = materialise(held.groupBy("doc_id", "text_key", "term").agg(F.max("disclosure").alias("disclosure"), F.first("base").alias("base")), "held")
+    held = materialise(held.groupBy("doc_id", "text_key", "term").agg(F.max("disclosure").alias("disclosure"), F.max("open").alias("open"), F.first("base").alias("base")), "held")
     keys = held.select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk")).distinct()
     text = src.join(keys, src["doc_id"].eqNullSafe(keys["id"]) & (src["text_key"] == keys["tk"]), "left_semi").dropDuplicates(["doc_id", "text_key"])
     part = text.select("doc_id", "text_key", F.posexplode(located("text", TERM, F.lit(True))).alias("i", "z")).select("doc_id", "text_key", "i", F.col("z.m").alias("m"), F.char_length("z.gap").alias("gap"))
     so_far = Window.partitionBy("doc_id", "text_key").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     word = part.withColumn("e", F.sum(F.col("gap") + F.coalesce(F.char_length("m"), F.lit(0))).over(so_far).cast("int")).where("m is not null")
     word = word.select("doc_id", "text_key", F.translate("m", UPPER, LOWER).alias("term"), (F.col("e") - F.char_length("m")).alias("s"), "e")
-    both = word.join(held, same_row(word, held, "doc_id", "text_key", "term")).select(word.doc_id, word.text_key, "s", "e", "disclosure", "base")
+    both = word.join(held, same_row(word, held, "doc_id", "text_key", "term")).select(word.doc_id, word.text_key, word.term, "s", "e", "disclosure", "open", "base")
     return both.where(~F.exists("base", lambda x: (x["s"] <= F.col("s")) & (F.col("e") <= x["e"]))).drop("base")
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, text_key, base (see base_spans) and terms, array<struct<s,k,e,kind,disclosure>>, by start.
+    """Per row of docs: doc_id, text_key, base (see base_spans), terms, array<struct<s,k,e,kind,disclosure,put>>, by start, clean, the sanitised
+    text (null where it is the text itself), and sha256, that of the text.
 
     A null text is empty. Repeated rows (equal id and text) get equal results; rows that share an id but not the text are told apart by
     a hash of the text. Terms are learned near entities and marked in the whole of the documents that hold the entity which they reveal, so a document without entities
     keeps its whole text.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    base = materialise(base_spans(src), "spans")
+    # The texts of documents with entities go along, so that they are rewritten without a join of all texts.
+    base = base_spans(src.withColumn("body", F.col("text")).withColumn("sha256", F.sha2("text", 256)))
+    base = materialise(base.withColumn("body", F.when(F.size("base") > 0, F.col("body"))), "spans")
     some = base.where(F.size("base") > 0)
     terms = materialise(_terms(some), "near")
     reveal = broadcast_if_small(materialise(disclosures(src, some, terms), "disclosures"))
-    near = terms.join(reveal, ["entity", "term"]).select("doc_id", "text_key", "s", "e", "disclosure")
-    hit = near.unionByName(_everywhere(src, some, reveal)).groupBy("doc_id", "text_key", "s", "e").agg(F.max("disclosure").alias("disclosure"))
-    one = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.col("e"), F.lit("term").alias("kind"), F.col("disclosure"))
+    near = terms.join(reveal, ["entity", "term"]).select("doc_id", "text_key", "term", "s", "e", "disclosure", "open")
+    hit = near.unionByName(_everywhere(src, some, reveal)).groupBy("doc_id", "text_key", "s", "e").agg(F.max("disclosure").alias("disclosure"), F.max("open").alias("open"), F.min("term").alias("term"))
+    put = F.when(F.col("disclosure") >= REMOVE, "").when(F.col("open"), "[TERM]").otherwise(F.concat(F.lit("["), class_of(F.col("term")), F.lit("]")))
+    one = F.struct(F.col("s"), F.lit(len(KINDS)).alias("k"), F.col("e"), F.lit("term").alias("kind"), F.col("disclosure"), put.alias("put"))
     hit = hit.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(one)).alias("terms"))
-    none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,disclosure:double>>")
-    return base.join(hit, same_row(base, hit, "doc_id", "text_key"), "left").select(base.doc_id, base.text_key, "base", F.coalesce("terms", none).alias("terms"))
+    none = F.array().cast("array<struct<s:int,k:int,e:int,kind:string,disclosure:double,put:string>>")
+    out = base.join(hit, same_row(base, hit, "doc_id", "text_key"), "left").select(base.doc_id, base.text_key, "base", F.coalesce("terms", none).alias("terms"), "body", "sha256")
+    return out.withColumn("clean", F.when(F.size("base") > 0, rewritten("body", "base", "terms"))).drop("body")
 
 
 def _named(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text rewritten: entities become [KIND], terms beyond REMOVE go, other found terms become [TERM].
-
-    Overlapping spans are one: the first by start, then kind, names it.
-    """
-    d = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    f = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__tk"), F.col("base").alias("__base"), F.col("terms").alias("__terms")).dropDuplicates(["__id", "__tk"])
-    j = d.join(f, d[id_col].eqNullSafe(f["__id"]) & (d["__key"] == f["__tk"]), "left")
+def rewritten(text: str, base: str, terms: str) -> Column:
+    """The text with entities as [KIND], terms beyond REMOVE left out, other found terms as their class, [ab*], or [TERM] if that discloses
+    the entity as well. Overlapping spans are one: the first by start, then kind, names it."""
     mark = F.concat(
-        F.transform("__base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("put"))),
-        F.transform("__terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.when(x["disclosure"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]")).alias("put"))),
+        F.transform(base, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("put"))),
+        F.transform(terms, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["put"].alias("put"))),
     )
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        more = F.array(F.substring(F.col(text_col), a["at"] + 1, x["s"] - a["at"]), x["put"])
+        more = F.array(F.substring(F.col(text), a["at"] + 1, x["s"] - a["at"]), x["put"])
         return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.when(x["s"] >= a["at"], F.concat(a["out"], more)).otherwise(a["out"]).alias("out"))
 
-    j = j.withColumn("__m", F.array_sort(mark))
-    made = F.aggregate("__m", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text_col), a["at"] + 1, F.char_length(text_col))))
-    return j.withColumn(text_col, F.when(F.size("__m") > 0, made).otherwise(F.col(text_col))).select(*docs.columns)
+    return F.aggregate(F.array_sort(mark), start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.char_length(text))))
+
+
+def sanitised(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the text rewritten as find_pii found (clean); other rows keep theirs, null ones too."""
+    d = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    f = found.where("clean is not null").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__tk"), F.col("clean").alias("__clean")).dropDuplicates(["__id", "__tk"])
+    j = d.join(f, d[id_col].eqNullSafe(f["__id"]) & (d["__key"] == f["__tk"]), "left")
+    return j.withColumn(text_col, F.coalesce("__clean", text_col)).select(*docs.columns)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +209,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     light = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["kind"].alias("kind")))
     more = F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["kind"].alias("kind")))
     every = F.array_sort(F.concat(light, more))
-    return out.select("doc_id", *count, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(every).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
+    return out.select("doc_id", *count, F.sha2(_named(F.col("base")), 256).alias("base_sha256"), _named(every).alias("spans"), F.size("terms").cast("long").alias("n_terms"), F.size(F.filter("terms", lambda x: x["put"] == "")).cast("long").alias("n_removed"), F.coalesce(F.sha2("clean", 256), "sha256").alias("clean_sha256"))
 
 
 def _count(kind: str) -> Column:
