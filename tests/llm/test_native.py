@@ -71,6 +71,22 @@ def test_pii_terms_far_from_their_entity(spark):
     assert all(x.count("zanzibarian") == 1 and x.count("Zanzibarian") == 1 and "boss" not in x for x in terms.values())
 
 
+def test_pii_terms_are_generalised_to_a_class(spark):
+    """A term below REMOVE becomes its class, if the class is common enough not to disclose the entity."""
+    owner = [(100 + i, f"ask boss@corp.org or zanzibar{'' if i < 6 else 'i'} desk {i}") for i in range(8)] + [(120 + i, f"zanzibar is far {i}") for i in range(4)]
+    other = [(200 + i, f"the zany desk writes of item {i} on its own") for i in range(40)] + [(300 + i, f"nothing of it {i}") for i in range(400)]
+    d = spark.createDataFrame(owner + other, "doc_id long, text string")
+    found = {x.doc_id: x for x in pii.find_pii(d).collect()}
+    puts = {(owner_text[t.s : t.e], t.put) for i, owner_text in owner for t in found[i].terms}
+    shares = {owner_text[t.s : t.e]: t.disclosure for i, owner_text in owner for t in found[i].terms}
+    n, n_t, n_e, n_te = 452, 10, 8, 6
+    share = math.log2(n * n_te / (n_t * n_e)) / math.log2(n / n_e)
+    assert pii.GENERALISE <= share < pii.REMOVE and abs(shares["zanzibar"] - share) < 1e-9
+    assert ("zanzibar", "[za*]") in puts
+    assert "[EMAIL] or [za*] desk" in found[100].clean and found[300].clean is None
+    assert found[120].terms == []
+
+
 def test_line_dedup(spark):
     shared, rare = "  This Line is shared by many documents \t", "A line that only two documents have"
     more = [(30 + i, f"own {i}\n{shared if i % 2 else shared.upper()}\nshort\n{rare if i < 2 else ''}") for i in range(5)] + [(40, f"{shared}\n{shared}\n")]
@@ -92,14 +108,29 @@ def test_line_dedup(spark):
     assert line_dedup.keep_bitmaps(empty(spark)).count() == 0
 
 
+def test_line_dedup_streams_sorted_runs(spark):
+    """The ranges are sorted once, by line, document and position, and the window takes them as they are."""
+    d = docs(spark)
+    plans = []
+    keep = line_dedup.materialise
+    line_dedup.materialise = lambda df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), keep(df, tag))[1]
+    try:
+        line_dedup.keep_bitmaps(d).count()
+    finally:
+        line_dedup.materialise = keep
+    plan = next(p for tag, p in plans if tag == "often")
+    before = plan[plan.index("Window") : plan.index("rangepartitioning")]
+    assert before.count("Sort [") == 1 and "Exchange hashpartitioning" not in before and "pos#" in before
+
+
 def test_poisson_inverse_and_shares(spark):
-    r = spark.range(2000).select((F.col("id") / 2000 + 0.00025).alias("u"), F.lit(3.7).alias("rate")).select("u", mixing.poisson_inverse(F.col("u"), F.col("rate")).alias("k")).collect()
+    r = spark.range(2000).select((F.col("id") / 2000 + 0.00025).alias("u"), F.lit(3.7).alias("rate")).select("u", mixing.poisson_inverse(F.col("u"), mixing.poisson_table(F.col("rate"))).alias("k")).collect()
     for x in r:
         cdf = [0.0]
         for j in range(80):
             cdf.append(cdf[-1] + math.exp(-3.7) * 3.7**j / math.factorial(j))
         assert cdf[x.k] < x.u + 1e-12 and x.u <= cdf[x.k + 1] + 1e-12
-    big = spark.range(300).select(mixing.poisson_count(F.lit(2000.0), F.lit("s"), F.col("id").cast("string")).alias("k")).agg(F.avg("k"), F.stddev("k")).first()
+    big = spark.range(300).select(mixing.poisson_count(mixing.poisson_table(F.lit(2000.0) / mixing.poisson_parts(F.lit(2000.0))), mixing.poisson_parts(F.lit(2000.0)), F.lit("s"), F.col("id").cast("string")).alias("k")).agg(F.avg("k"), F.stddev("k")).first()
     assert abs(big[0] - 2000) < 15 and 35 < big[1] < 55
     d = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"), F.when(F.col("id") % 10 == 0, "small").otherwise("large").alias("source"))
     out = mixing.mix(d, mixing.source_rates(d, {"small": 1.0, "large": 1.0}))
