@@ -11,7 +11,7 @@ SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: without letters, or without a language that a third of the text has."""
+    """Drops documents whose language can't be told: without letters, or unlike any of the languages. Mixtures stay."""
     return language.accepted(docs)
 
 
@@ -27,7 +27,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources weigh as the square root of their bytes, in a globally shuffled order."""
-    return mixing.mix(docs, mixing.source_rates(docs)).select(*docs.columns)
+    return mixing.drawn(docs, mixing.source_rates(docs)).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
