@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from claimweave.session import ship
+from claimweave.tables import spread
 
 #: kind is package, import, type, method, constructor, field, annotation, call, field_use, type_use or deferred; detail is JSON by kind.
 SCHEMA = "path string, kind string, qualname string, owner string, line_start int, line_end int, hash string, detail string"
@@ -166,7 +167,7 @@ class Parser:
                     e = t.close(i)
                     for own, kinds in split_args(t.text[i + 1 : e], t.kind[i + 1 : e]):
                         key, value, vk = ("value", own, kinds) if own[1:2] != ["="] else (own[0], own[2:], kinds[2:])
-                        args.append((key, literal(value, vk), "".join(value)))
+                        args.append((key, literal(value, vk), all(k == "text" or x in "{,}" for x, k in zip(value, vk, strict=True))))
                     i = e + 1
                 notes.append((a, i, name, args))
             elif t.text[i] in MODIFIERS or t.text[i] == "non" and t.text[i + 1 : i + 3] == ["-", "sealed"]:
@@ -178,7 +179,7 @@ class Parser:
 
     def note_rows(self, notes: list, owner: str, owner_kind: str, words: list[str], declarators: int = 1, nested: int = 0, anonymous: bool = False) -> None:
         for a, b, name, args in notes:
-            self.add("annotation", name, owner, a, b, {"owner_kind": owner_kind, "args": {k: v for k, v, _ in args}, "literal": all(v is not None for _, v, _ in args), "n_args": len(args), "static": "static" in words, "count": sum(x[2] == name for x in notes), "declarators": declarators, "nested": nested, "anonymous": anonymous})
+            self.add("annotation", name, owner, a, b, {"owner_kind": owner_kind, "args": {k: v for k, v, _ in args}, "literal": all(v is not None for _, v, _ in args), "texts": [k for k, v, text in args if text], "n_args": len(args), "static": "static" in words, "count": sum(x[2] == name for x in notes), "declarators": declarators, "nested": nested, "anonymous": anonymous})
 
     def member(self, i: int, end: int, owner: str | None, owner_kind: str | None, anonymous: bool = False) -> int:
         """Parses the member that starts at i; returns what follows it."""
@@ -486,4 +487,4 @@ def java_rows(files: DataFrame) -> DataFrame:
                 out += p.rows
             yield pd.DataFrame(out, columns=NAMES)
 
-    return files.select("path", "text").where("path like '%.java'").mapInPandas(run, SCHEMA)
+    return spread(files.select("path", "text").where("path like '%.java'"), "path").mapInPandas(run, SCHEMA)

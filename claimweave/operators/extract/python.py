@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from claimweave.session import ship
+from claimweave.tables import spread
 
 #: kind is function, class, declaration, api, import, call, read, write, env_read or config_read; detail is JSON by kind.
 SCHEMA = "path string, kind string, qualname string, owner string, line_start int, line_end int, hash string, docstring string, detail string"
@@ -237,4 +238,4 @@ def python_rows(files: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([r for p, t in zip(b.path, b.text, strict=True) for r in rows_of(p, t or "")], columns=NAMES)
 
-    return files.select("path", "text").where("path like '%.py'").mapInPandas(run, SCHEMA)
+    return spread(files.select("path", "text").where("path like '%.py'"), "path").mapInPandas(run, SCHEMA)

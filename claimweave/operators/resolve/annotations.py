@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimweave.functions.ids import SPECS, hashed_id, stable_id
@@ -74,6 +74,8 @@ def annotation_metadata(rows: DataFrame) -> DataFrame:
     # of a family's several accepted names, the one that is meant
     a = a.withColumn("exact", F.coalesce(exact, F.lit(False)))
     a = a.withColumn("best", F.struct("exact", "fqn")).groupBy("path", "owner", "owner_kind", "name", "line_start", "hash", "family").agg(F.max_by(F.struct("exact", "fqn", "owner_kinds", "flags", "kept", "args", "literal", "static", "anonymous", "n_args", "count", "declarators", "nested", "n", "owner_id"), "best").alias("x")).select("path", "owner", "owner_kind", "name", "line_start", "hash", "family", "x.*")
+    # a name that several families know is that of the family that it is exactly, if any
+    a = a.withColumn("any", F.max("exact").over(Window.partitionBy("path", "owner", "owner_kind", "name", "line_start"))).where("exact or not any")
     keys = F.json_object_keys("args")
     presence = F.size("kept") == 0
     flag = lambda f: F.array_contains("flags", f)
@@ -100,7 +102,7 @@ def _noted(rows: DataFrame, **wanted: str) -> DataFrame:
     """Annotations by exactly imported name: path, owner, owner_kind, label (of wanted: label -> fqn), args."""
     spark = rows.sparkSession
     dim = spark.createDataFrame([(k, v.rsplit(".", 1)[-1], v) for k, v in wanted.items()], "label string, simple string, fqn string")
-    a = rows.where("kind = 'annotation'").select("path", F.substring_index("qualname", ".", -1).alias("simple"), F.col("qualname").alias("name"), "owner", "line_start", "line_end", _d("owner_kind").alias("owner_kind"), _d("args").alias("args"), _d("literal").cast("boolean").alias("literal"), _d("n_args").cast("int").alias("n_args"))
+    a = rows.where("kind = 'annotation'").select("path", F.substring_index("qualname", ".", -1).alias("simple"), F.col("qualname").alias("name"), "owner", "line_start", "line_end", _d("owner_kind").alias("owner_kind"), _d("args").alias("args"), _d("literal").cast("boolean").alias("literal"), _d("n_args").cast("int").alias("n_args"), F.from_json(_d("texts"), "array<string>").alias("texts"))
     a = a.join(F.broadcast(dim), "simple").join(imports_of(rows), ["path", "simple"], "left")
     wild = rows.where("kind = 'import'").where((_d("wildcard") == "true") & (_d("static") == "false")).select("path", _d("fqn").alias("package")).groupBy("path").agg(F.collect_set("package").alias("packages"))
     a = a.join(wild, "path", "left")
@@ -108,11 +110,12 @@ def _noted(rows: DataFrame, **wanted: str) -> DataFrame:
     return a.where((F.col("imported") == F.col("fqn")) | (F.col("name") == F.col("fqn")) | (F.col("imported").isNull() & spring)).drop("simple", "name", "imported", "fqn", "packages")
 
 
-def _texts(*keys: str) -> Column:
-    """Literal texts of the first attribute given: one or an array."""
+def _texts(*keys: str, sure: bool = False) -> Column:
+    """Literal texts of the first attribute given: one or an array. With sure, names of constants don't count."""
     out = F.lit(None).cast("array<string>")
     for k in reversed(keys):
         one = F.get_json_object("args", f"$.{k}")
+        one = F.when(F.array_contains("texts", k), one) if sure else one
         out = F.when(one.isNotNull(), F.when(one.startswith("["), F.from_json(one, "array<string>")).otherwise(F.array(one))).otherwise(out)
     return out
 
@@ -144,7 +147,7 @@ def topic_edges(rows: DataFrame) -> DataFrame:
     """Kafka: literal topics of listeners (subscribes_to) and of template sends (publishes_to): path, source, topic, edge_kind, edge_id, reason."""
     owner = owner_nodes(rows).where("n = 1").select("path", "owner", "owner_kind", F.col("owner_id").alias("source_id"))
     sub = _noted(rows, listener="org.springframework.kafka.annotation.KafkaListener").join(owner, ["path", "owner", "owner_kind"])
-    sub = sub.select("path", F.col("owner").alias("source"), "source_id", F.explode_outer(_texts("topics")).alias("topic"), F.lit("subscribes_to").alias("edge_kind"))
+    sub = sub.select("path", F.col("owner").alias("source"), "source_id", F.explode_outer(_texts("topics", sure=True)).alias("topic"), F.lit("subscribes_to").alias("edge_kind"))
     template = members(rows).where("type like 'KafkaTemplate%'").select("path", F.col("owner").alias("cls"), F.col("simple").alias("base")).distinct()
     calls = rows.where("kind = 'call'").select("path", F.col("owner").alias("owner"), F.col("qualname").alias("name"), _d("owner").alias("cls"), _d("base").alias("base"), _d("args").alias("args"), _d("first").alias("topic")).where("name = 'send'")
     pub = calls.join(template, ["path", "cls", "base"]).join(owner.where("owner_kind in ('method', 'constructor')"), ["path", "owner"])
@@ -191,15 +194,15 @@ def injections(rows: DataFrame) -> DataFrame:
 def configuration_properties(rows: DataFrame) -> DataFrame:
     """Literal prefixes of configuration classes and bean factories."""
     n = _noted(rows, props="org.springframework.boot.context.properties.ConfigurationProperties").join(owner_nodes(rows).where("n = 1"), ["path", "owner", "owner_kind"])
-    p = F.coalesce(_texts("prefix", "value")[0], F.lit(None).cast("string"))
+    p = F.coalesce(_texts("prefix", "value", sure=True)[0], F.lit(None).cast("string"))
     n = n.where("owner_kind in ('class', 'method')").withColumn("prefix", p)
     return n.select("path", "owner", "owner_kind", "prefix", F.when(F.col("prefix").isNotNull(), stable_id("configuration_properties", "owner_id", "prefix")).alias("edge_id"), F.when(F.col("prefix").isNull(), "configuration_properties_prefix_not_literal").alias("reason"))
 
 
-def literal_declarations(rows: DataFrame, **wanted: str) -> DataFrame:
+def literal_declarations(rows: DataFrame, texts: bool = False, **wanted: str) -> DataFrame:
     """What exactly imported annotations of any kind say in literals: path, owner, owner_kind, label, args. For profiles, scopes,
-    conditions, and the like, whose texts stay opaque."""
-    return _noted(rows, **wanted).where("literal").select("path", "owner", "owner_kind", "label", "args")
+    conditions, and the like, whose texts stay opaque. texts: which attributes are literal texts."""
+    return _noted(rows, **wanted).where("literal").select("path", "owner", "owner_kind", "label", "args", *(["texts"] if texts else []))
 
 
 _P = "jakarta.persistence."
@@ -210,11 +213,11 @@ MYBATIS = {"mapper": "org.apache.ibatis.annotations.Mapper", **{v.lower(): "org.
 
 def mybatis_statements(rows: DataFrame) -> DataFrame:
     """Methods of exact mappers with one literal statement: path, owner, operation, statement (opaque)."""
-    n = literal_declarations(rows, **MYBATIS)
+    n = literal_declarations(rows, True, **MYBATIS)
     mapper = n.where("label = 'mapper' and owner_kind = 'interface'").select("path", F.col("owner").alias("cls")).distinct()
     s = n.where("label <> 'mapper' and owner_kind = 'method'").withColumn("cls", F.regexp_replace("owner", r"\.[^.]*$", "")).join(mapper, ["path", "cls"], "left_semi")
-    one = s.groupBy("path", "owner").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("operation"), F.min("args").alias("args")).where("n = 1")
-    return one.select("path", "owner", "operation", _texts("value")[0].alias("statement")).where("statement is not null")
+    one = s.groupBy("path", "owner").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("operation"), F.min("args").alias("args"), F.min("texts").alias("texts")).where("n = 1")
+    return one.select("path", "owner", "operation", _texts("value", sure=True)[0].alias("statement")).where("statement is not null")
 
 
 def repositories(rows: DataFrame) -> DataFrame:

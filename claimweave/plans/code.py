@@ -9,7 +9,6 @@ from claimweave.operators import contracts
 from claimweave.operators.extract.config import config_keys
 from claimweave.operators.extract.java import java_rows
 from claimweave.operators.extract.python import python_rows
-from claimweave.operators.resolve import annotations
 from claimweave.operators.resolve import java as rj
 from claimweave.operators.resolve import python as rp
 from claimweave.plans import samples
@@ -158,31 +157,6 @@ def java_field_uses(spark: SparkSession, sf: str) -> DataFrame:
     return rj.field_uses(settled(java_rows(java_files(spark, sf)))).select("path", "use", "target")
 
 
-def _sample(spark: SparkSession) -> DataFrame:
-    return settled(java_rows(samples.files(spark, samples.JAVA)))
-
-
-def _register(name: str, f) -> None:
-    query(name)(lambda spark, sf: f(_sample(spark)))
-
-
-for _name, _f in {
-    "java_annotation_metadata": annotations.annotation_metadata,
-    "java_type_uses": rj.type_uses,
-    "java_mvc_routes": annotations.mvc_routes,
-    "java_feign_routes": annotations.feign_routes,
-    "java_topic_edges": annotations.topic_edges,
-    "java_event_edges": annotations.event_edges,
-    "java_injections": annotations.injections,
-    "java_configuration_properties": annotations.configuration_properties,
-    "java_mybatis_statements": annotations.mybatis_statements,
-    "java_repositories": annotations.repositories,
-    "java_spring_declarations": lambda r: annotations.literal_declarations(r, **annotations.SPRING),
-    "java_persistence_declarations": lambda r: annotations.literal_declarations(r, **annotations.PERSISTENCE),
-}.items():
-    _register(_name, _f)
-
-
 # --- configuration, contracts, overloads ----------------------------------------------------------------------------------------------
 
 

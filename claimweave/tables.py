@@ -11,15 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where there is none (tests), a temporary one that goes at exit."""
+    """The folder named in spark.checkpoint.dir; where a local session names none (tests), a temporary one that goes at exit. A cluster must
+    name one, since executors don't see the driver's disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="claimweave-shared-")
         atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def spread(files: DataFrame, *keys: str) -> DataFrame:
+    """files dealt by the hash of their keys, for work that is far more than reading them: to as many tasks as a shuffle has, and some for
+    each core at least, however few row groups they were read from."""
+    spark = files.sparkSession
+    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written once and read back, so that what it numbered or drew at random stays as it is."""
     spark = df.sparkSession
