@@ -261,26 +261,24 @@ def status_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return index.status_rollup(index.edge_endpoints(c.edges(spark, sf)))
 
 
-def _register_reverse(what: str, kind: str, relation: str | None) -> None:
-    # Kinds that the tables have no edges of are asked in the generic form, over every tenth target of all kinds of a same shape.
-    stand_in = {"overridden_by": ("inherits", "implements"), "env_readers": ("reads", None), "config_readers": ("reads", None), "injected_by": ("uses_type", "field")}
-    k, r = stand_in.get(what, (kind, relation))
-    cond = f"relation_kind = '{k}'" + (f" AND relation = '{r}'" if r else "")
+#: Kinds that the tables have edges of; the others are looked up in relations derived from sources.
+_OF_TABLES = ("callers", "readers", "writers", "subtypes", "implementors", "used_by_types", "topic_publishers", "topic_subscribers")
+
+
+def _register_reverse(what: str) -> None:
+    kind, relation = graph.REVERSE[what]
+    cond = f"relation_kind = '{kind}'" + (f" AND relation = '{relation}'" if relation else "")
 
     def run(spark: SparkSession, sf: str) -> DataFrame:
         edges, fresh = _graph(spark, sf)
-        own = edges.where(cond)
-        asked = own.select("target_id").where(F.crc32(F.col("target_id").cast("binary")) >= 0).distinct()
-        as_kind = own.withColumn("relation_kind", F.lit(kind)).withColumn("relation", F.lit(relation).cast("string"))
-        out = graph.reverse(as_kind, fresh, asked, what)
-        return out.select("target_id", "source_id", "edge_id")
+        return graph.reverse(edges, fresh, edges.where(cond).select("target_id").distinct(), what)
 
-    sql = f"WITH {G}, {FRESH} SELECT target_id, source_id, edge_id FROM edges WHERE {cond} AND target_id IN (SELECT node_id FROM fresh) AND source_id IN (SELECT node_id FROM fresh)"
-    query(f"reverse_{what}", sql)(run)
+    ends = "f AS MATERIALIZED (SELECT DISTINCT node_id FROM fresh), own AS MATERIALIZED (SELECT target_id, source_id, edge_id FROM edges WHERE " + cond + ")"
+    query(f"reverse_{what}", f"WITH {G}, {FRESH}, {ends} SELECT own.* FROM own JOIN f t ON t.node_id = target_id JOIN f s ON s.node_id = source_id")(run)
 
 
-for _what, (_kind, _relation) in graph.REVERSE.items():
-    _register_reverse(_what, _kind, _relation)
+for _what in _OF_TABLES:
+    _register_reverse(_what)
 
 
 @query("reverse_index", f"WITH {G} SELECT target_id, string_agg(DISTINCT source_id, ',' ORDER BY source_id) AS sources, count(*) AS n FROM edges WHERE relation_kind = 'calls' GROUP BY target_id")

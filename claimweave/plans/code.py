@@ -6,12 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.operators import contracts
-from claimweave.operators.extract.config import config_keys
 from claimweave.operators.extract.java import java_rows
 from claimweave.operators.extract.python import python_rows
 from claimweave.operators.resolve import java as rj
 from claimweave.operators.resolve import python as rp
-from claimweave.plans import samples
 from claimweave.plans.registry import query
 from claimweave.sources.corpora import table
 from claimweave.streaming import metrics as stream_metrics_
@@ -160,16 +158,6 @@ def java_field_uses(spark: SparkSession, sf: str) -> DataFrame:
 # --- configuration, contracts, overloads ----------------------------------------------------------------------------------------------
 
 
-@query("config_yaml")
-def config_yaml(spark: SparkSession, sf: str) -> DataFrame:
-    return config_keys(samples.files(spark, samples.CONFIG))
-
-
-@query("python_extract")
-def python_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return python_rows(samples.files(spark, samples.PYTHON))
-
-
 @query(
     "contracts",
     """WITH x AS (SELECT doc_id, quality = 1 AS has_value, toxic = 1 AS has_write, (doc_id % 10) / 10.0::DOUBLE AS c FROM labels)

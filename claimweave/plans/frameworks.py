@@ -317,6 +317,9 @@ def _field(name: str) -> str:
     return _node("field", _W, "W{s}." + name)
 
 
+INJECTED_SQL = _rows_sql(["target_id", "source_id", "edge_id", "s"], [(t, _field(n), _edge("claim_inject_edge_", "injects", "field", _field(n), t), "=s_suppkey") for n, t in (("bean", _BILL), ("quick", _FAST))])
+
+
 @query(
     "java_injections",
     _rows_sql(
