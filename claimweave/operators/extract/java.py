@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from claimweave.operators.extract.limits import SECONDS, within
 from claimweave.session import ship
 from claimweave.tables import spread
 
-#: kind is package, import, type, method, constructor, field, annotation, call, field_use, type_use or deferred; detail is JSON by kind.
+#: kind is package, import, type, method, constructor, field, annotation, call, field_use, type_use, deferred or failed; detail is JSON by kind.
 SCHEMA = "path string, kind string, qualname string, owner string, line_start int, line_end int, hash string, detail string"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 TOKEN = re.compile(
@@ -471,20 +472,26 @@ def parse_type(text: str) -> dict:
     return {"raw": raw, "erased": erased, "simple_name": erased.rsplit(".", 1)[-1], "array_dims": dims, "varargs": varargs, "primitive": erased in PRIMITIVE - {"var"}, "type_arguments": args, "wildcard": wildcard}
 
 
-def java_rows(files: DataFrame) -> DataFrame:
-    """files (path, text): all rows of all files. A file that can't be read to its end gives what was read."""
+def _read(path: str, text: str) -> Parser:
+    p = Parser(path, text)
+    try:
+        p.run()
+    except (IndexError, RecursionError):
+        pass  # broken sources end early; rows so far stand
+    return p
+
+
+def java_rows(files: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """files (path, text): all rows of all files. A file that can't be read to its end gives what was read; one that takes longer than it
+    may is one row of kind failed."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
             for path, text in zip(b.path, b.text, strict=True):
-                p = Parser(path, text or "")
-                try:
-                    p.run()
-                except (IndexError, RecursionError):
-                    pass  # broken sources end early; rows so far stand
-                out += p.rows
+                p, reason = within(seconds, lambda path=path, text=text: _read(path, text or ""))
+                out += p.rows if reason is None else [(path, "failed", reason, None, 1, 1, None, "{}")]
             yield pd.DataFrame(out, columns=NAMES)
 
     return spread(files.select("path", "text").where("path like '%.java'"), "path").mapInPandas(run, SCHEMA)

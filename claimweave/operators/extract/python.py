@@ -7,15 +7,17 @@ import hashlib
 import io
 import json
 import tokenize
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from claimweave.operators.extract.limits import SECONDS, within
 from claimweave.session import ship
 from claimweave.tables import spread
 
-#: kind is function, class, declaration, api, import, call, read, write, env_read or config_read; detail is JSON by kind.
+#: kind is function, class, declaration, api, import, call, read, write, env_read, config_read or failed; detail is JSON by kind.
 SCHEMA = "path string, kind string, qualname string, owner string, line_start int, line_end int, hash string, docstring string, detail string"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 LAYOUT = {tokenize.INDENT, tokenize.DEDENT, tokenize.NEWLINE}
@@ -35,10 +37,11 @@ class Tokens:
                     self.rows.append((t.type in LAYOUT, t.start[0], t.end[0], name if t.type in LAYOUT else f"{name}:{t.string}"))
         except (tokenize.TokenError, IndentationError):
             self.rows = []
+        self.starts = [r[1] for r in self.rows]
 
     def span_hash(self, first: int, last: int) -> str:
         """Of the tokens on these lines; block tokens before the first or after the last real token belong to what is around them."""
-        own = [r for r in self.rows if r[2] >= first and r[1] <= last]
+        own = self.rows[bisect_left(self.starts, first) : bisect_right(self.starts, last)]
         real = [i for i, r in enumerate(own) if not r[0]]
         text = "\0".join(r[3] for r in own[real[0] : real[-1] + 1]) if real else ""
         return hashlib.sha256(text.encode()).hexdigest()
@@ -62,12 +65,12 @@ def literal(node: ast.AST | None) -> str | None:
 
 def own_nodes(fn: ast.AST) -> Iterator[ast.AST]:
     """What a function's body holds, nested functions and classes aside."""
-    todo = list(ast.iter_child_nodes(fn))
+    todo = list(ast.iter_child_nodes(fn))[::-1]
     while todo:
-        n = todo.pop(0)
+        n = todo.pop()
         yield n
         if not isinstance(n, (*DEFS, ast.ClassDef)):
-            todo[:0] = ast.iter_child_nodes(n)
+            todo += list(ast.iter_child_nodes(n))[::-1]
 
 
 def interface(fn: ast.FunctionDef | ast.AsyncFunctionDef) -> dict:
@@ -230,12 +233,16 @@ def rows_of(path: str, source: str) -> list[tuple]:
     return out
 
 
-def python_rows(files: DataFrame) -> DataFrame:
-    """files (path, text): all rows of all files, one pass over each."""
+def python_rows(files: DataFrame, seconds: float = SECONDS) -> DataFrame:
+    """files (path, text): all rows of all files, one pass over each. A file that takes longer than it may is one row of kind failed."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame([r for p, t in zip(b.path, b.text, strict=True) for r in rows_of(p, t or "")], columns=NAMES)
+            out: list[tuple] = []
+            for path, text in zip(b.path, b.text, strict=True):
+                rows, reason = within(seconds, lambda path=path, text=text: rows_of(path, text or ""))
+                out += rows if reason is None else [(path, "failed", reason, None, 1, 1, None, None, "{}")]
+            yield pd.DataFrame(out, columns=NAMES)
 
     return spread(files.select("path", "text").where("path like '%.py'"), "path").mapInPandas(run, SCHEMA)

@@ -10,6 +10,9 @@ from claimweave.functions.text import identifier_keywords
 CREATE = r"""(?i)\bCREATE\s+(?:OR\s+REPLACE\s+)?(TABLE|VIEW)\s+(?:IF\s+NOT\s+EXISTS\s+)?([A-Za-z_][A-Za-z0-9_$.]*|"[^"]+"|`[^`]+`|\[[^\]]+\])"""
 
 
+SCHEMA = "path string, declaration_kind string, qualname string, line_start int, declaration_hash string, keywords array<string>"
+
+
 def declarations(files: DataFrame) -> DataFrame:
     """files (path, text): path, declaration_kind, qualname, line_start, declaration_hash, keywords. Text that isn't in a .sql file is left alone."""
     f = files.where(F.col("path").endswith(".sql") & F.col("text").isNotNull())

@@ -122,8 +122,8 @@ class Service:
     def feedback(self, claim_id: str, kind: str) -> None:
         if kind not in ("usage", "verified", "falsified", "hunch"):
             raise ValueError(f"unknown feedback: {kind}")
-        own = self.store.get([claim_id])
-        self.store.put(settled(views.with_feedback(own, self.spark.createDataFrame([(claim_id, kind)], "claim_id string, kind string"))))
+        given = self.spark.createDataFrame([(claim_id, kind)], "claim_id string, kind string")
+        self.store.update([claim_id], lambda own: views.with_feedback(own, given))
 
     def stats(self, log: str, since: str | None = None) -> dict:
         return aggregate.metrics_stats(sources.metrics_log(self.spark, log, since)).first().asDict()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from claimweave.functions.text import identifier_keywords
 from claimweave.operators import freshness, incremental
 from claimweave.operators.extract.config import config_keys
 from claimweave.operators.extract.java import java_rows
+from claimweave.operators.extract.limits import SECONDS
 from claimweave.operators.extract.python import python_rows
 from claimweave.operators.extract.sql import declarations as sql_declarations
 from claimweave.operators.resolve import annotations
@@ -42,16 +45,18 @@ def _edge(df: DataFrame, kind: str, path: str, language: str, confidence: float
     return df.where("edge_id is not null").select(F.col("edge_id").alias("claim_id"), F.concat_ws(" ", "source_id", F.lit(kind), "target_id").alias("claim"), F.lit("architecture").alias("kind"), F.lit("cross-repo").alias("scope"), F.array(*ends).alias("bindings"), F.lit("git").alias("provenance"), F.lit(evidence).alias("evidence"), F.lit(confidence).alias("confidence"), F.col(path).alias("owner_path"), F.lit(language).alias("language"), F.lit(kind).alias("edge_kind"), "source_id", "target_id", how.alias("resolution")).dropDuplicates(["claim_id"])
 
 
-def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    return settled(python_rows(files)), settled(java_rows(files)), settled(config_keys(files)), settled(sql_declarations(files))
+def parsed(files: DataFrame, seconds: float = SECONDS) -> dict[str, DataFrame]:
+    """The rows of files by the store's table, each file read once."""
+    return {"python": settled(python_rows(files, seconds)), "java": settled(java_rows(files, seconds)), "config": settled(config_keys(files)), "sql": settled(sql_declarations(files))}
 
 
 def symbols_of(files: DataFrame) -> DataFrame:
     """path, qualname, node_kind, hash of all that bindings are compared with."""
-    return _symbols(*parsed(files))
+    return _symbols(**parsed(files))
 
 
-def _symbols(py: DataFrame, jv: DataFrame, cf: DataFrame, sq: DataFrame) -> DataFrame:
+def _symbols(python: DataFrame, java: DataFrame, config: DataFrame, sql: DataFrame) -> DataFrame:
+    py, jv, cf, sq = python, java, config, sql
     out = rp.symbols(py).unionByName(cf.select("path", F.col("key").alias("qualname"), F.lit("config").alias("node_kind"), F.col("config_hash").alias("hash")))
     out = out.unionByName(rj.types(jv).select("path", "qualname", F.lit("class").alias("node_kind"), "hash")).unionByName(rj.members(jv).select("path", "qualname", F.lit("function").alias("node_kind"), "hash"))
     return out.unionByName(sq.select("path", "qualname", F.lit("declaration").alias("node_kind"), F.col("declaration_hash").alias("hash")))
@@ -59,7 +64,13 @@ def _symbols(py: DataFrame, jv: DataFrame, cf: DataFrame, sq: DataFrame) -> Data
 
 def derive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(claims, symbols) of files (path, text, blob). Each file is parsed once; the rest are joins and projections, put together by union."""
-    py, jv, cf, sq = parsed(files)
+    rows = parsed(files)
+    return derived(files, **rows), _symbols(**rows)
+
+
+def derived(files: DataFrame, python: DataFrame, java: DataFrame, config: DataFrame, sql: DataFrame) -> DataFrame:
+    """The claims of files whose rows are these."""
+    py, jv, cf, sq = python, java, config, sql
     say = lambda *cs: F.concat_ws(" ", *cs)
     f = files.select("path", F.col("path").alias("qualname"), F.lit(None).cast("string").alias("hash"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"))
     parts = [
@@ -108,7 +119,7 @@ def derive(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ok = F.forall(F.slice(F.coalesce("keywords", F.array().cast("array<string>")), 1, 8), lambda k: F.contains(F.col("source"), k))
     heuristic = F.col("scope").isin("function", "class", "declaration") & F.col("edge_kind").isNull()
     out = out.withColumn("confidence", F.when(heuristic, observed_confidence(ok, F.col("confidence"))).otherwise(F.col("confidence"))).withColumn("evidence", F.when(heuristic & ~ok, "inferred").otherwise(F.col("evidence"))).drop("source")
-    return out.dropDuplicates(["claim_id"]), _symbols(py, jv, cf, sq)
+    return out.dropDuplicates(["claim_id"])
 
 
 def bindings_of(claims: DataFrame) -> DataFrame:
@@ -121,31 +132,57 @@ def freshness_of(claims: DataFrame, files: DataFrame, symbols: DataFrame) -> Dat
     return freshness.claim_freshness(claims.withColumn("path", F.col("owner_path")), states)
 
 
-def manifest_of(claims: DataFrame) -> DataFrame:
-    return claims.where("scope = 'file'").select(F.col("owner_path").alias("path"), F.col("bindings")[0]["file_blob"].alias("blob"))
+def failures(rows: dict[str, DataFrame]) -> DataFrame:
+    """path, reason of the files that couldn't be read in time."""
+    both = [rows[t].where("kind = 'failed'").select("path", F.col("qualname").alias("reason")) for t in ("python", "java")]
+    return both[0].unionByName(both[1])
+
+
+def with_moved_feedback(claims: DataFrame, stored: DataFrame, moves: DataFrame) -> DataFrame:
+    """claims, where those of a moved file take over what was said about them under their old path: endorsement, verification, evidence
+    and confidence. moves: old_path, new_path."""
+    said = stored.where("endorsed_by is not null or last_verified is not null").join(moves, stored.owner_path == moves.old_path)
+    keys = ["owner_path", "scope", "qualname", "node_kind", "edge_kind"]
+    said = said.select(F.col("new_path").alias("owner_path"), *keys[1:], *[F.col(c).alias(f"__{c}") for c in ("endorsed_by", "last_verified", "evidence", "confidence")]).where("qualname is not null").dropDuplicates(keys)
+    hit = reduce(lambda a, k: a & claims[k].eqNullSafe(said[k]), keys[1:], claims["owner_path"] == said["owner_path"])
+    out = claims.join(said, hit, "left").select(*[claims[c] for c in claims.columns], *[c for c in said.columns if c.startswith("__")])
+    known = F.col("__endorsed_by").isNotNull() | F.col("__last_verified").isNotNull()
+    for c in ("endorsed_by", "last_verified", "evidence", "confidence"):
+        out = out.withColumn(c, F.when(known, F.col(f"__{c}")).otherwise(F.col(c)))
+    return out.select(*claims.columns)
 
 
-def warm(store: ClaimStore, files: DataFrame) -> dict:
+def warm(store: ClaimStore, files: DataFrame, seconds: float = SECONDS, wait: float = 0.0) -> dict:
     """Brings the store up to the files: nothing where nothing changed, else the changed paths and those whose claims depend on them.
 
-    Relations across files need their targets, so the changed and dependent files are derived along with every file that they may refer
-    to: the whole tree is parsed, once, and only the claims of the changed owners are replaced.
+    Only files that changed are parsed; what was parsed of the others is in the store, so that relations are joins over stored rows. Claims
+    are replaced of the owners that changed, that are bound to a path that did, or whose relations came or went. A file that takes too
+    long is kept as failed, and read again by the next warm. Moved files keep what was said about their claims.
     """
-    stored = store.read()
-    diff = settled(incremental.manifest_diff(manifest_of(stored), files).where("status <> 'same'"))
-    counts = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
-    if not counts:
-        return {"derived": 0, "removed": 0, "status": "complete", "noop": True}
-    claims, _ = derive(files)
-    claims = settled(claims)
-    if store.current() is None:
-        store.commit(claims)
-        return {"derived": counts.get("added", 0), "removed": 0, "status": "complete", "noop": False}
-    changed = diff.select("path")
-    moved = stored.where("edge_kind is not null").select("claim_id", F.col("owner_path").alias("path"))
-    again = claims.where("edge_kind is not null").select("claim_id")
-    lost = moved.join(again, "claim_id", "left_anti").select("path")
-    fresh_edges = claims.where("edge_kind is not null").join(stored.select("claim_id"), "claim_id", "left_anti").select(F.col("owner_path").alias("path"))
-    owners = settled(changed.union(lost).union(fresh_edges).distinct())
-    store.replace_paths(owners, claims.join(owners.select(F.col("path").alias("owner_path")), "owner_path", "left_semi"))
-    return {"derived": counts.get("added", 0) + counts.get("changed", 0), "removed": counts.get("removed", 0), "status": "complete", "noop": False}
+    with store.change(wait) as change:
+        known, stored = change.read("files"), change.read("claims")
+        diff = settled(incremental.manifest_diff(known.select("path", F.when(F.col("reason").isNull(), F.col("blob")).alias("blob")), files).where("status <> 'same' and (old_blob is not null or new_blob is not null)"))
+        counts = {r.status: r["count"] for r in diff.groupBy("status").count().collect()}
+        if not counts:
+            return {"derived": 0, "removed": 0, "failed": {}, "status": "complete", "noop": True}
+        rows = parsed(files.join(diff.where("new_blob is not null").select("path"), "path", "left_semi"), seconds)
+        owners = diff.select(F.col("path").alias("owner"))
+        for table, new in rows.items():
+            change.replace(table, owners, new)
+        now = {t: change.now(t) for t in rows}
+        failed = settled(failures(now))
+        change.write("files", files.select("path", "blob").join(failed.dropDuplicates(["path"]), "path", "left"))
+        claims = derived(files.join(failed, "path", "left_anti"), **now)
+        if stored.isEmpty():
+            change.write("claims", store.stamped(claims))
+        else:
+            moves = settled(incremental.renames(known, files))
+            claims = settled(with_moved_feedback(claims, stored, moves))
+            edges = lambda df: df.where("edge_kind is not null").select("claim_id", F.col("owner_path").alias("path"))
+            lost = edges(stored).join(edges(claims).select("claim_id"), "claim_id", "left_anti").select("path")
+            come = edges(claims).join(edges(stored).select("claim_id"), "claim_id", "left_anti").select("path")
+            bound = incremental.dependents(bindings_of(stored).select("claim_id", "path", "owner_path"), diff.select("path"))
+            paths = settled(diff.select("path").union(lost).union(come).union(bound).distinct())
+            change.replace("claims", paths.select(F.col("path").alias("owner")), store.stamped(claims.join(paths.select(F.col("path").alias("owner_path")), "owner_path", "left_semi")))
+        bad = {r.path: r.reason for r in failed.orderBy("path").limit(1000).collect()}
+    return {"derived": counts.get("added", 0) + counts.get("changed", 0), "removed": counts.get("removed", 0), "failed": bad, "status": "partial" if bad else "complete", "noop": False}

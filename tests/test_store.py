@@ -60,8 +60,8 @@ def test_store_versions_and_trust(spark, tmp_path):
     assert {r.trust for r in b.read().collect()} == {"unverified_foreign"} and {r.trust for r in a.read().collect()} == {"local"}
     a.delete(spark.createDataFrame([("x",)], "claim_id string"))
     assert [r.claim_id for r in a.read().collect()] == ["y"]
-    with pytest.raises(RuntimeError):
-        a.locked(lambda: a.commit(row))
+    with a.change(), pytest.raises(RuntimeError):
+        b.commit(row)
 
 
 def test_all_samples_derive(spark):
@@ -121,3 +121,87 @@ def test_hooks(spark, tmp_path):
     assert hooks.route("q", d, router, 5) == ["b", "a"] and hooks.route("q", d, ["/no/such"], 5) == []
     f = spark.createDataFrame([("i", "def go(): pass", "k.go")], "claim_id string, source string, qualname string")
     assert hooks.candidates(f, hooks.NameDeriver()).first().supported
+
+
+def _digest(store):
+    return {(r.claim_id, r.confidence, str(r.bindings), r.body) for r in store.read().collect()}
+
+
+def test_warm_after_an_edit_is_a_clean_warm(spark, tmp_path):
+    tree = TREE | {"pkg/c.py": "import b\n\n\ndef go():\n    b.helper()\n    b.late()\n", "J.java": "class J { void m() { } void n() { m(); } }"}
+    store = ClaimStore(spark, str(tmp_path / "s"))
+    warm.warm(store, frame(spark, tree))
+    before = {t: dict(m) for t, m in store.version()["tables"].items()}
+    edited = {k: v for k, v in tree.items() if k != "app.json"} | {"b.py": TREE["b.py"].replace("return 1", "return 3") + "\n\ndef late():\n    return 4\n"}
+    done = warm.warm(store, frame(spark, edited))
+    assert (done["derived"], done["removed"]) == (1, 1)
+    clean = ClaimStore(spark, str(tmp_path / "clean"))
+    warm.warm(clean, frame(spark, edited))
+    assert _digest(store) == _digest(clean)
+    after = store.version()["tables"]
+    assert before["java"] == after["java"] and before["claims"] != after["claims"] and any(before["claims"].get(b) == f for b, f in after["claims"].items())
+    assert {r.owner_path for r in store.owned_by("b.py").collect()} == {"b.py"}
+
+
+def test_moved_files_keep_what_was_said(spark, tmp_path):
+    from claimweave.operators import views
+
+    store = ClaimStore(spark, str(tmp_path / "s"))
+    warm.warm(store, frame(spark, TREE))
+    old = store.read().where("qualname = 'spare'").first()
+    given = spark.createDataFrame([(old.claim_id, "verified")], "claim_id string, kind string")
+    store.update([old.claim_id], lambda own: views.with_feedback(own, given))
+    said = store.get([old.claim_id]).first()
+    moved = {("lib/b.py" if k == "b.py" else k): v for k, v in TREE.items()}
+    warm.warm(store, frame(spark, moved))
+    new = store.read().where("qualname = 'spare'").first()
+    assert new.claim_id != old.claim_id and (new.endorsed_by, new.evidence, new.confidence) == (said.endorsed_by, said.evidence, said.confidence)
+
+
+def test_a_slow_file_fails_alone_and_is_tried_again(spark, tmp_path):
+    tree = TREE | {"slow.py": "def slow():\n    " + "\n    ".join(f"a{i} = b{i}.c(d[{i}])" for i in range(8_000)) + "\n"}
+    store = ClaimStore(spark, str(tmp_path / "s"))
+    done = warm.warm(store, frame(spark, tree), seconds=0.02)
+    assert done["status"] == "partial" and done["failed"] == {"slow.py": "timeout"}
+    assert store.read().where("owner_path = 'b.py'").count() > 0 and store.read().where("owner_path = 'slow.py'").count() == 0
+    done = warm.warm(store, frame(spark, tree))
+    assert (done["derived"], done["failed"], done["status"]) == (1, {}, "complete") and store.read().where("qualname = 'slow'").count() == 1
+    assert warm.warm(store, frame(spark, tree))["noop"]
+
+
+def test_two_writers_lose_no_update(spark, tmp_path):
+    import threading
+
+    store = ClaimStore(spark, str(tmp_path / "s"))
+    rows = [conform(spark.createDataFrame([(f"c{i}", 0.5, f"p{i}.py")], "claim_id string, confidence double, owner_path string")) for i in range(4)]
+    errors = []
+
+    def write(r):
+        try:
+            ClaimStore(spark, str(tmp_path / "s")).put(r, wait=120)
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(r,)) for r in rows]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert not errors and {r.claim_id for r in store.read().collect()} == {"c0", "c1", "c2", "c3"} and store.current() == "4"
+    with store.change():
+        with pytest.raises(RuntimeError):
+            ClaimStore(spark, str(tmp_path / "s")).put(rows[0])
+    first = store.version(2)
+    assert len(store.children("_versions")) == 3 and first["number"] == 2
+
+
+def test_the_lock_of_a_dead_writer_expires(spark, tmp_path, monkeypatch):
+    from claimweave.operators import store as module
+
+    store = ClaimStore(spark, str(tmp_path / "s"))
+    (tmp_path / "s" / "LOCK").write_text("")
+    with pytest.raises(RuntimeError):
+        with store.change():
+            pass
+    monkeypatch.setattr(module, "EXPIRES", -1.0)
+    with store.change():
+        assert (tmp_path / "s" / "LOCK").exists()
+    assert not (tmp_path / "s" / "LOCK").exists()
