@@ -3,12 +3,13 @@ builds a graph of its sketches and is searched with expanding beams whose recall
 verified on the texts' five-word shingles and united into classes.
 
 A shard is asked only by documents that share a minimum hash with it (several shards a document), since sending every document to
-every shard would cost the square of the corpus.
+every shard would cost the square of the corpus. Documents whose minimum hash lies in a passage that very many share are told apart by
+minimum hashes of their other shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,14 @@ from claimweave.session import ship
 SHINGLE, SIMILAR = 5, 0.8
 #: Shards that a document is in; near copies miss one another in all of them with probability (1 - similarity) to this power.
 REPLICAS = 4
-#: Documents of a shard, about. More of them that share a minimum hash are told apart by a second, then dealt at random; the second pass
-#: compares the whole of such a hot group, by pairs of blocks of so many rows.
+#: Documents of a shard, about. More of them that share a minimum hash are a hot group: its shingles in over SHARD documents, the HOTTEST
+#: most frequent of them at most, are left out, and COLD_KEYS minimum hashes of the others bring its pairs together. If one document of a
+#: pair of similarity 0.8 has a share of at least COLD of other shingles, the others' similarity is 0.2 at least, and no hash is common
+#: with probability 0.8 ** COLD_KEYS = 0.0008. Documents below that share are compared as a whole, by pairs of blocks of PIECE rows.
 SHARD, PIECE = 1024, 2048
+COLD_KEYS, COLD, HOTTEST = 32, 0.25, 1 << 20
+#: Rows of a group of a cold minimum hash up to which all of its pairs within RADIUS are candidates.
+FEW = 16
 #: Bits of 128 that candidates may differ in: at similarity 0.8 they differ in 19.4 on average, with a deviation of 4.1.
 RADIUS = 36
 #: Graph neighbours, beam to begin with, queries of a shard that are audited, recall that they must reach.
@@ -350,6 +356,101 @@ def texts_of(docs: DataFrame, nodes: DataFrame, ends: DataFrame, id_col: str, te
     return d.join(ends, same_row(d, ends, "doc_id", "text_key")).select("node", "text")
 
 
+def cold_keys(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """(node, share, keys) of the nodes in hot groups: the share of their shingles that are cold, and COLD_KEYS minimum hashes of those (null
+    without any). None if no group is hot."""
+    rows, hot = _minima(nodes)
+    held = materialise(rows.join(hot, ["r", "k1"], "left_semi").select("node").distinct(), "in_hot")
+    if not held.limit(1).count():
+        return None
+    text = materialise(texts_of(docs, nodes, held, id_col, text_col).dropDuplicates(["node"]), "hot_texts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = buffer_of(b.column(1))
+            seen, n = np.zeros(0, U), np.zeros(0, np.int64)
+            for i, j in steps(off):
+                own, times = np.unique(np.concatenate(shingles(*word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]))), return_counts=True)
+                seen, at = np.unique(np.concatenate([seen, own[times > 1]]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([n, times[times > 1]]), len(seen)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(n)], ["s", "n"])
+
+    often = text.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") > SHARD)
+    known = np.sort(np.array([r.s for r in often.orderBy(F.desc("n"), "s").limit(HOTTEST).select("s").collect()], np.int64).view(U))
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, off = buffer_of(b.column(1))
+            share, keys = np.zeros(b.num_rows), np.zeros((b.num_rows, COLD_KEYS), U)
+            has = np.zeros(b.num_rows, bool)
+            for i, j in steps(off):
+                sets = shingles(*word_hashes(data[off[i] : off[j]], off[i : j + 1] - off[i]))
+                s = np.concatenate(sets)
+                first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+                at = np.searchsorted(sent.value, s)
+                cold = np.append(sent.value, U(0))[at] != s if len(sent.value) else np.ones(len(s), bool)
+                so_far = np.concatenate([[0], np.cumsum(cold)])[first]
+                n = np.diff(so_far)
+                share[i:j], has[i:j] = n / np.maximum(np.diff(first), 1), n > 0
+                own, full = s[cold], np.flatnonzero(n)
+                for r in range(COLD_KEYS):
+                    if len(full):
+                        keys[i + full, r] = np.minimum.reduceat(mixed(own ^ _SEEDS[10 + r]), so_far[:-1][full])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b.num_rows + 1) * COLD_KEYS, COLD_KEYS, np.int32)), pa.array(keys.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(share), pa.array(has), lists], ["node", "share", "has", "keys"])
+
+    cold = text.mapInArrow(run, "node long, share double, has boolean, keys array<long>")
+    return materialise(cold.select("node", "share", F.when(F.col("has"), F.col("keys")).alias("keys")), "cold")
+
+
+def _cold_groups(nodes: DataFrame, cold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(few, many): rows (unit, node) of the groups of a cold minimum hash with 2 to SHARD nodes, and of those with more."""
+    rows = materialise(cold.select("node", F.posexplode("keys").alias("r", "key")).select(F.xxhash64("r", "key").alias("unit"), "node"), "cold_rows")
+    per = materialise(rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "cold_groups")
+    many = broadcast_if_small(materialise(per.where(F.col("n") > SHARD).select("unit"), "cold_many"))
+    return rows.join(per.where(F.col("n") <= SHARD).select("unit"), "unit"), rows.join(many, "unit")
+
+
+def searched_cold(nodes: DataFrame, few: DataFrame) -> DataFrame:
+    """searched, for groups of a cold minimum hash: each group by itself, one after another off the sorted partitions."""
+    rows = few.join(nodes.select("node", "s1", "s2"), "node").select("unit", "node", "s1", "s2")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def of(unit: int, node: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(node) <= FEW:
+            i, j = np.nonzero(np.triu(distance(sigs[:, None], sigs[None]) <= RADIUS, 1))
+            return np.sort(np.stack([node[i], node[j]], 1), 1), node[:0]
+        pairs, rest = candidates(sigs)
+        return np.unique(np.sort(node[pairs].reshape(-1, 2), 1), axis=0), node[rest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in _and_end(batches):
+            if b is not None:
+                x = np.stack([c.to_numpy() for c in b.columns], 1)
+                held = x if held is None else np.concatenate([held, x])
+            if held is None or not len(held):
+                continue
+            heads = np.flatnonzero(np.append(True, held[1:, 0] != held[:-1, 0]))
+            whole = len(held) if b is None else heads[-1]
+            out = []
+            for at, end in zip(heads, np.append(heads[1:], len(held)), strict=True):
+                if end <= whole and end - at > 1:
+                    unit, node, sigs = held[at, 0], held[at:end, 1], np.ascontiguousarray(held[at:end, 2:]).view(U)
+                    pairs, rest = of(unit, node, sigs)
+                    out += [(unit, a, c) for a, c in pairs.tolist()] + [(unit, a, None) for a in rest.tolist()]
+            held = held[whole:]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(3)], ["shard", "a", "b"])
+
+    return rows.repartition(parts, "unit").sortWithinPartitions("unit", "node").mapInArrow(run, "shard long, a long, b long")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs whose texts' shingle sets have a Jaccard similarity of SIMILAR or more. A node's text goes to its smaller pairs' task once."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -480,11 +581,12 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {rounds} rounds")
 
 
-def _blocks(named: DataFrame) -> DataFrame:
-    """Units of all pairs of blocks of each hot group of a minimum hash. Blocks are cut in the order of labels, so that pairs of blocks of one
-    label, such as copies of a text, need no comparison."""
+def _blocks(named: DataFrame, cold: DataFrame, many: DataFrame) -> DataFrame:
+    """Units of all pairs of blocks of those rows of a hot group that have too few cold shingles, and of each group of a cold minimum hash
+    that is hot itself. Blocks are cut in the order of labels, so that pairs of blocks of one label, such as copies of a text, need no comparison."""
     rows, hot = _minima(named, "label")
-    rows = rows.join(hot, ["r", "k1"]).select("r", "k1", "node", "s1", "s2", "label")
+    rows = rows.join(hot, ["r", "k1"]).join(cold.where(F.col("share") < COLD).select("node"), "node", "left_semi").select("r", "k1", "node", "s1", "s2", "label")
+    rows = rows.unionByName(many.join(named, "node").select(F.lit(-1).alias("r"), F.col("unit").alias("k1"), "node", "s1", "s2", "label"))
     order = Window.partitionBy("r", "k1").orderBy("label", "node")
     rows = materialise(rows.withColumn("i", F.floor((F.row_number().over(order) - 1) / PIECE)), "pieces")
     per = materialise(rows.groupBy("r", "k1", "i").agg(F.min("label").alias("low"), F.max("label").alias("high")), "blocks")
@@ -495,12 +597,12 @@ def _blocks(named: DataFrame) -> DataFrame:
     return rows.join(broadcast_if_small(materialise(ends, "block_pairs")), ["r", "k1", "i"]).select("unit", "side", "node", "s1", "s2", "label")
 
 
-def _settled(docs: DataFrame, named: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _settled(docs: DataFrame, named: DataFrame, found: DataFrame, blocks: Callable[[DataFrame], DataFrame] | None, id_col: str, text_col: str) -> DataFrame:
     """named with the labels united of which a pair within RADIUS, not among the candidates, is alike: in the shards, and in the groups of
     hot minimum hashes, of which a shard has but a piece."""
     units = found.where("b is null").select(F.col("shard").alias("unit"), F.lit(0).alias("side"), F.col("a").alias("node"))
     units = units.join(named.select("node", "s1", "s2", "label"), "node").select("unit", "side", "node", "s1", "s2", "label")
-    units = units.unionByName(_blocks(named.where("worded")))
+    units = units.unionByName(blocks(named.where("worded"))) if blocks else units
     rows = materialise(unsettled(units), "unsettled")
     if not rows.limit(1).count():
         return named
@@ -524,12 +626,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o")
     nodes = marks.groupBy("node").agg(one, F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("mins").alias("mins"), F.count(F.lit(1)).alias("rows"), F.first("n1").alias("n1"))
     nodes = materialise(nodes.select("node", F.col("o.doc_id").alias("doc_id"), F.col("o.text_key").alias("text_key"), "s1", "s2", "mins", "rows", ((F.col("n1") != 0)).alias("worded")), "nodes")
-    found = materialise(searched(nodes.where("worded")), "found")
+    worded = nodes.where("worded")
+    found, blocks = materialise(searched(worded), "found"), None
+    if (cold := cold_keys(docs, worded, id_col, text_col)) is not None:
+        few, many = _cold_groups(worded, cold)
+        found = found.unionByName(materialise(searched_cold(worded, few), "found_cold"))
+        many = materialise(many, "many")
+
+        def blocks(named: DataFrame) -> DataFrame:
+            return _blocks(named, cold, many)
+
     pairs = materialise(found.where("b is not null").select("a", "b").distinct(), "pairs")
     edges = materialise(verified(docs, nodes, pairs, id_col, text_col), "edges")
     named = nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named.select("node", "doc_id", "text_key", "rows", "s1", "s2", "mins", "worded", "label"), "named")
-    named = _settled(docs, named, found, id_col, text_col)
+    named = _settled(docs, named, found, blocks, id_col, text_col)
     per = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("o"), F.sum("rows").alias("class_rows"))
     per = materialise(per.select("label", F.col("o.doc_id").alias("class_id"), F.col("o.text_key").alias("keep_key"), "class_rows"), "classes")
     of_node = materialise(named.select("node", "label").join(per, "label").drop("label"), "members")
