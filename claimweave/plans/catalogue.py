@@ -12,6 +12,7 @@ from claimweave.functions.text import WORD, first_by_case, identifier_keywords,
 from claimweave.operators import aggregate, freshness, graph, incremental, index, retrieve
 from claimweave.plans.registry import query
 from claimweave.sources import corpora as c
+from claimweave.tables import settled, spread
 
 G, N, FILES, CLAIMS, METRICS = c.EDGES_SQL, c.NODES_SQL, c.FILES_SQL, c.CLAIMS_SQL, c.METRICS_SQL
 FRESH = N + ", fresh AS (SELECT node_id FROM nodes WHERE current_hash = stored_hash)"
@@ -101,7 +102,7 @@ picked AS (SELECT *, row_number() OVER (ORDER BY depth, path_rank) AS place FROM
 
 def _claims(spark: SparkSession, sf: str) -> DataFrame:
     # Paths are the sources alone, so that several claims share one and diversification has work.
-    return c.file_claims(spark, sf)
+    return c.file_claims(spark, sf, spread)
 
 
 @query("lexical_candidates", f"WITH {_SCORED} SELECT doc_id, claim_id FROM scored")
@@ -125,9 +126,12 @@ def diversified_topk(spark: SparkSession, sf: str) -> DataFrame:
 )
 def retrieve_ranked(spark: SparkSession, sf: str) -> DataFrame:
     claims = _claims(spark, sf)
-    now = c.current_files(spark, sf).select("path", F.col("blob").alias("now"))
-    fresh = claims.join(now, "path").where(F.col("blob") == F.col("now"))
-    return retrieve.retrieve(claims, fresh, ASK, 10).select("claim_id", "path", "score", F.col("place").cast("long").alias("place"))
+    # Blobs are worked out of the answer's files only: ten rows, by which both snapshots are cut down before anything is hashed.
+    best = settled(retrieve.diversified(retrieve.scored(claims, ASK), 10).select("claim_id", "path", "score", F.col("place").cast("long").alias("place")))
+    stored = claims.join(F.broadcast(best.select("claim_id")), "claim_id", "left_semi").select("claim_id", "path", "blob")
+    now = c.current_files(spark, sf).join(F.broadcast(best.select("path").distinct()), "path", "left_semi").select("path", F.col("blob").alias("now"))
+    fresh = stored.join(now, "path").where(F.col("blob") == F.col("now"))
+    return best.join(fresh.select("claim_id"), "claim_id", "left_semi").orderBy("place")
 
 
 @query("exact_name_lookup", f"WITH {CLAIMS} SELECT DISTINCT claim_id FROM claims WHERE name = 'the' OR qualname = 'the' OR split_part(qualname, '.', -1) = 'the'")

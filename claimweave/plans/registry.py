@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from claimweave.plans import annotated, catalogue, code, frameworks, project  # noqa: E402, F401  they register their queries
+from claimweave.plans import annotated, catalogue, code, frameworks, project, review  # noqa: E402, F401  they register their queries

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,9 +141,10 @@ node0 AS (
 )"""
 
 
-def stored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored snapshot of documents as files: doc_id, path, text, blob."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+def stored_files(spark: SparkSession, sf_dir: str, deal: Callable[..., DataFrame] | None = None) -> DataFrame:
+    """The stored snapshot of documents as files: doc_id, path, text, blob. deal: how rows are spread over tasks, if at all."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    d = (deal(d, "doc_id") if deal else d).select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
     return d.select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), "text", git_blob(F.col("text")).alias("blob"))
 
 
@@ -161,9 +164,9 @@ stored AS (
 ), cur AS (SELECT *, sha1('blob ' || strlen(text) || chr(0) || text) AS blob FROM cur0)"""
 
 
-def file_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+def file_claims(spark: SparkSession, sf_dir: str, deal: Callable[..., DataFrame] | None = None) -> DataFrame:
     """Claims of documents as files: claim_id, scope, path, qualname, name, node_kind, keywords, text, confidence, evidence."""
-    d = stored_files(spark, sf_dir)
+    d = stored_files(spark, sf_dir, deal)
     return d.select(
         "doc_id",
         stable_id("file", "path").alias("claim_id"),

@@ -47,6 +47,19 @@ def metrics_log(spark: SparkSession, path: str, since: str | None = None) -> Dat
     return df if since is None else df.where(F.col("ts") >= F.lit(since).cast("timestamp_ntz"))
 
 
+#: Fields that would carry sources into a log.
+CONTENT = ("source", "source_text", "content", "code")
+
+
+def append_metrics(events: DataFrame, path: str) -> None:
+    """Appends events (event, ts or none, any fields) to a log of JSON lines, without fields that hold sources. Appending adds files, so
+    writers don't meet."""
+    kept = events.drop(*CONTENT)
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    kept = kept.withColumn("ts", F.coalesce(F.col("ts").cast("string"), now) if "ts" in kept.columns else now)
+    kept.select(*sorted(kept.columns)).write.mode("append").json(path)
+
+
 def semantic_facts(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """Facts of external tools, from JSON documents: those whose source hash is that of the file now, and of which no two documents tell
     different things about a symbol."""

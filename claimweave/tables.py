@@ -24,10 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(files: DataFrame, *keys: str) -> DataFrame:
-    """files dealt by the hash of their keys, for work that is far more than reading them: to as many tasks as a shuffle has, and some for
-    each core at least, however few row groups they were read from."""
+    """files dealt by the hash of their keys, for work that is far more than reading them, if their scan has fewer tasks than cores: large
+    tables are read by tasks enough, and stay as they are."""
     spark = files.sparkSession
-    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+    scan = files._jdf.queryExecution().sparkPlan().toString()
+    want = 2 * spark.sparkContext.defaultParallelism
+    if not any(x in scan for x in ("Join", "Aggregate", "Exchange", "Window")) and files.rdd.getNumPartitions() >= want:
+        return files
+    return files.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), want), *keys)
 
 
 def settled(df: DataFrame) -> DataFrame:

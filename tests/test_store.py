@@ -205,3 +205,32 @@ def test_the_lock_of_a_dead_writer_expires(spark, tmp_path, monkeypatch):
     with store.change():
         assert (tmp_path / "s" / "LOCK").exists()
     assert not (tmp_path / "s" / "LOCK").exists()
+
+
+def test_git_source(spark, tmp_path):
+    import subprocess
+
+    from claimweave.sources import git
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t.org", *a], check=True, capture_output=True)
+    assert git.head(str(tmp_path)) is None and git.tracked(spark, str(tmp_path)).count() == 0
+    run("init", "-q")
+    (tmp_path / "a b.py").write_text("x = 1\n")
+    (tmp_path / "new.py").write_text("y = 1\n")
+    run("add", "a b.py")
+    run("commit", "-q", "-m", "first")
+    (tmp_path / "a b.py").write_text("x = 2\n")
+    assert len(git.head(str(tmp_path))) == 40 and [r.path for r in git.tracked(spark, str(tmp_path)).collect()] == ["a b.py"]
+    old = git.head_blob(str(tmp_path), "a b.py")
+    assert {(r.path, r.blob) for r in git.committed(spark, str(tmp_path)).collect()} == {("a b.py", old)} and git.head_blob(str(tmp_path), "new.py") is None
+    now = {r.path: r.blob for r in sources.source_tree(spark, str(tmp_path)).collect()}
+    assert now["a b.py"] != old
+
+
+def test_metrics_append(spark, tmp_path):
+    log = str(tmp_path / "log")
+    d = spark.createDataFrame([("miss", "n1", "secret"), ("cache_hit", "n2", "secret")], "event string, node_id string, source_text string")
+    sources.append_metrics(d, log)
+    sources.append_metrics(d.limit(1), log)
+    assert sources.metrics_log(spark, log).count() == 3
+    assert all("secret" not in f.read_text() for f in (tmp_path / "log").glob("*.json"))
