@@ -141,7 +141,7 @@ def query_intents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "ordered_gaps",
-    "WITH g AS (SELECT l_orderkey AS query, l_linestatus AS gap, min(l_linenumber) AS at FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL) SELECT query, string_agg(gap, ',' ORDER BY at, gap) AS gaps FROM g GROUP BY query",
+    "WITH g AS (SELECT l_orderkey AS query, l_linestatus AS gap, min(l_linenumber) AS first_at FROM lineitem WHERE l_returnflag <> 'N' GROUP BY ALL) SELECT query, string_agg(gap, ',' ORDER BY first_at, gap) AS gaps FROM g GROUP BY query",
 )
 def ordered_gaps(spark: SparkSession, sf: str) -> DataFrame:
     r = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query"), F.col("l_linenumber").alias("at"), F.when(F.col("l_returnflag") != "N", F.col("l_linestatus")).alias("gap"))
