@@ -291,6 +291,44 @@ def test_pairs_in_a_hot_group(spark):
     assert_pairs_found(spark, 2600, 60, 20, 6)
 
 
+def test_hot_passages_against_brute_force(spark, monkeypatch):
+    """Documents that share a passage of 75 words, below 0.8 with one another, and copies of some of them with one or two words changed: the
+    classes are those of all pairs. The hot groups are compared by their other shingles alone: no document has too few of them."""
+    monkeypatch.setattr(near_dup, "SHARD", 64)
+    r = random.Random(12)
+    own = lambda k: [f"w{r.randrange(40_000)}" for _ in range(k)]
+    passage, base = own(75), [own(29 + i % 7) for i in range(420)]
+    texts = [passage + b for b in base]
+    for j in range(90):
+        copy = list(base[r.randrange(420)])
+        copy[-5] = f"new{j}"
+        if j % 2:
+            copy[-15] = f"old{j}"
+        texts.append(passage + copy)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                label[max(a, b)], links = min(a, b), links + 1
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = []
+    blocks = near_dup._blocks
+    monkeypatch.setattr(near_dup, "_blocks", lambda *a: (seen.append(b := blocks(*a)), b)[1])
+    got = {x.doc_id: x.class_id for x in near_dup.near_duplicates(d).collect()}
+    assert links >= 90 and got == {i: root(i) for i in range(len(texts))}
+    assert seen and seen[0].count() == 0
+
+
 def test_versions_in_many_copies():
     g = np.random.default_rng(8)
 
