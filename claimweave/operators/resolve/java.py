@@ -196,7 +196,8 @@ def calls(rows: DataFrame) -> DataFrame:
     looks = looks.unionByName(at(c.where("shape = 'bare'").join(statics, ["path", "name"]).join(by_fqn, "fqn"), "s_path", "s_cls", 3, "java_static_import_method"))
     calls_ = c.select("ref", "shape", "argc", "args", F.when(shape.isin("new", "this_constructor", "super_constructor"), "constructor").otherwise("method").alias("node_kind"), F.col("name").alias("simple"))
     targets = m.select(F.col("path").alias("m_path"), "owner", "simple", "node_kind", "arity", "varargs", "generic", "params", F.col("node_id").alias("target_id"))
-    pairs = looks.join(calls_, "ref").join(targets.withColumnRenamed("simple", "m_simple"), ["m_path", "owner", "node_kind"]).where((F.col("node_kind") == "constructor") | (F.col("simple") == F.col("m_simple")))
+    key = F.when(F.col("node_kind") == "constructor", "").otherwise(F.col("simple"))  # so that a call never meets a class's other methods
+    pairs = looks.join(calls_.withColumn("key", key).drop("simple"), "ref").join(targets.withColumn("key", key).drop("simple"), ["m_path", "owner", "node_kind", "key"])
     pairs = settled(pairs)
     nearest = pairs.groupBy("ref").agg(F.min("rank").alias("rank"))
     pairs = pairs.join(nearest, ["ref", "rank"]).withColumn("named", F.lit(True))
