@@ -134,6 +134,19 @@ def retrieve_ranked(spark: SparkSession, sf: str) -> DataFrame:
     return best.join(fresh.select("claim_id"), "claim_id", "left_semi").orderBy("place")
 
 
+_BM = ["thing", "ment", "the"]
+_TF = ", ".join(f"len(list_filter(w, lambda x: x = '{t}')) AS t{i}" for i, t in enumerate(_BM))
+_BM25 = " + ".join(f"ln(1 + (docs - d{i} + 0.5::DOUBLE) / (d{i} + 0.5::DOUBLE)) * t{i} * 2.2::DOUBLE / (t{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / length))" for i in range(len(_BM)))
+
+
+@query(
+    "bm25_candidates",
+    f"WITH {CLAIMS}, s AS (SELECT claim_id, regexp_extract_all(lower(coalesce(text, '')), '{WORD}') AS w FROM claims), t AS (SELECT claim_id, len(w) AS n, {_TF} FROM s), a AS (SELECT count(*)::DOUBLE AS docs, avg(n) AS length, {', '.join(f'count(*) FILTER (WHERE t{i} > 0) AS d{i}' for i in range(len(_BM)))} FROM t) SELECT claim_id, round({_BM25}, 6) AS bm25 FROM t, a WHERE t0 + t1 + t2 > 0 ORDER BY bm25 DESC, claim_id LIMIT 500",
+)
+def bm25_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieve.bm25_candidates(_claims(spark, sf).withColumn("search_text", F.col("text")), _BM, 500)
+
+
 @query("exact_name_lookup", f"WITH {CLAIMS} SELECT DISTINCT claim_id FROM claims WHERE name = 'the' OR qualname = 'the' OR split_part(qualname, '.', -1) = 'the'")
 def exact_name_lookup(spark: SparkSession, sf: str) -> DataFrame:
     claims = _claims(spark, sf).withColumn("bindings", F.array(F.struct("path")))
