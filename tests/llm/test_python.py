@@ -8,7 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from claimweave.llm import html_text, language, licenses, media, near_dup, sharding
+from claimweave.llm import html_text, language, licenses, media, mixing, near_dup, sharding
 from claimweave.llm.common import materialise
 from pyspark.sql import functions as F
 
@@ -441,3 +441,26 @@ def test_sharding_groups_stay_together_in_any_layout(spark):
 def test_sharding_very_long_rows(spark):
     out = {x.doc_id: x for x in sharding.shard(spark.createDataFrame([(1, "x" * 3_000_000), (2, "b"), (3, None), (4, "")], "doc_id long, text string"), 3).collect()}
     assert out[1].size == 3_000_008 and out[1].shard not in {out[i].shard for i in (2, 3, 4)}
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    """Columns with names that an operator gives to its own keep the input's values."""
+    d = spark.createDataFrame([(i, speech("aa", 30, i), "aa", f"p{i}", 0.5 + i, f"s{i}", f"r{i}", 100 + i, 200 + i) for i in range(40)] + [(90, None, None, "p", 1.0, "s", "r", 1, 2), (91, "12 ...", "aa", "p", 1.0, "s", "r", 1, 2)], "doc_id long, text string, lang string, lang_pred string, lang_score double, source string, rate string, n_copies long, shuffle_key long")
+    kept = {x.doc_id: x for x in language.accepted(d).collect()}
+    assert set(kept) == set(range(40)) and all((x.lang_pred, x.lang_score, x.rate) == (f"p{i}", 0.5 + i, f"r{i}") for i, x in kept.items())
+    out = mixing.drawn(d, mixing.source_rates(d))
+    assert out.columns[: len(d.columns)] == d.columns and all(x.rate == f"r{x.doc_id}" and x.n_copies == 100 + x.doc_id and x.shuffle_key == 200 + x.doc_id for x in out.where("doc_id < 40").collect())
+    assert language.accepted(d.limit(0)).count() == 0
+
+
+def test_mixtures_of_many_languages_are_told_and_kept(spark):
+    """Six languages in equal parts: no limit ends the set, and the pipeline's stage keeps the text."""
+    sounds = {chr(97 + k) * 2: [f"{a}{b}" for a in "bdfgklmnprst"[2 * k : 2 * k + 2] for b in ("a", "e", "i", "o")] for k in range(6)}
+    r = random.Random(3)
+    say = lambda lang, n: " ".join("".join(r.choice(sounds[lang]) for _ in range(r.randint(1, 3))) for _ in range(n))
+    d = spark.createDataFrame([(i, say(lang := sorted(sounds)[i % 6], 60), lang) for i in range(240)] + [(999, " ".join(say(lang, 150) for lang in sorted(sounds)), None)], "doc_id long, text string, lang string")
+    model = language.learn(language.training(d))
+    mixed = language.predict(d.where("doc_id = 999"), model).first()
+    shares = dict(x.split(":") for x in mixed.lang_set.split(","))
+    assert set(shares) == set(sounds) and all(abs(float(v) - 1 / 6) < 0.06 for v in shares.values())
+    assert language.accepted(d).where("doc_id = 999").count() == 1
