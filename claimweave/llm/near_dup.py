@@ -648,7 +648,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each class."""
+    """docs with one row of each class, that of the smallest doc_id (nulls last; of rows that share it, the smallest hash of the text). All texts
+    without words, null and empty ones too, are one class. Repeated rows are one row; an empty table gives an empty result; columns of any
+    name stay as they are."""
     found = near_duplicates(docs)
     mine = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("text_key").eqNullSafe(F.col("keep_key")))
     kept = materialise(mine.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "kept")
