@@ -11,27 +11,32 @@ SHARDS = 24
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language can't be told: without letters, or unlike any of the languages. Mixtures stay."""
+    """Drops documents whose language can't be told: without letters, or unlike any of the languages. Mixtures stay.
+
+    Null and empty texts go; repeated rows fare alike; a table without labels or rows gives none."""
     return language.accepted(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each class of near copies."""
+    """Keeps one document, that of the smallest doc_id, of each class of near copies. Repeated rows are one; texts without words are one class."""
     return near_dup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a window of any benchmark item occurs."""
+    """Drops documents in which a window of any benchmark item occurs. Null and empty texts have none and stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources weigh as the square root of their bytes, in a globally shuffled order."""
+    """Repeats or leaves out documents so that sources weigh as the square root of their bytes, in a globally shuffled order.
+
+    Rows that repeat a doc_id are drawn alike; sources without bytes (null and empty texts only) go; a null source is a source."""
     return mixing.drawn(docs, mixing.source_rates(docs)).select(*docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each document, with near equal bytes, tokens and rows in the shards."""
+    """The shard and slot of each document, with near equal bytes, tokens and rows in the shards. Copies of a text stay together; a null
+    text has 8 bytes; an empty table gives an empty result."""
     return sharding.shard(docs, SHARDS)
 
 
