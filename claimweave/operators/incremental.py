@@ -51,8 +51,12 @@ def owner_path(kind: Column, source_path: Column, target_path: Column) -> Column
 
 
 def reconcile_edges(stored: DataFrame, derived: DataFrame, paths: DataFrame) -> DataFrame:
-    """Stored edges that one of the paths owns and that weren't derived again. stored has owner_path."""
-    own = stored.join(paths.select(F.col("path").alias("owner_path")).distinct(), "owner_path", "left_semi")
+    """Stored edges that one of the paths owns and that weren't derived again. stored has owner_path, and so may derived: then an edge was
+    derived again by the same owner, and those of other owners aren't compared."""
+    paths = paths.select(F.col("path").alias("owner_path")).distinct()
+    own = stored.join(paths, "owner_path", "left_semi")
+    if "owner_path" in derived.columns:
+        derived = derived.join(paths, "owner_path", "left_semi")
     return own.join(derived.select("edge_id"), "edge_id", "left_anti")
 
 

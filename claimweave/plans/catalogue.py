@@ -375,7 +375,7 @@ def routing_shape(spark: SparkSession, sf: str) -> DataFrame:
 @query("bounded_fragment")
 def bounded_fragment(spark: SparkSession, sf: str) -> DataFrame:
     edges, fresh = _graph(spark, sf)
-    out = graph.bounded_fragment(edges, fresh, "customer:4", _WALK, 2, stop=graph.boundary_nodes(edges))
+    out = graph.bounded_fragment(edges, fresh, "customer:4", _WALK, 2, stop=graph.BOUNDARY)
     return spark.createDataFrame([(out["entry"], h["hop"], len(h["edges"]), h["shape"], out["stop_reason"], out["coverage"]) for h in out["hops"]], "entry string, hop long, edges long, shape string, stop_reason string, coverage string")
 
 
@@ -392,7 +392,7 @@ def fresh_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("dangling_endpoints", f"WITH {_ENDS}, {N} SELECT edge_id, endpoint_role, endpoint FROM ends WHERE endpoint NOT IN (SELECT node_id FROM nodes)")
 def dangling_endpoints(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.dangling(c.edges(spark, sf), c.nodes(spark, sf))
+    return graph.dangling(c.relations(spark, sf), c.nodes(spark, sf), c.edge_identity())
 
 
 @query("uniqueness_gate", f"WITH {FILES} SELECT doc_id, blob FROM stored WHERE blob IN (SELECT blob FROM stored GROUP BY blob HAVING count(*) = 1)")
@@ -415,7 +415,7 @@ def freshness_file(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("freshness_edges", f"WITH {G}, {FRESH} SELECT edge_id, source_id IN (SELECT node_id FROM fresh) AND target_id IN (SELECT node_id FROM fresh) AS fresh FROM edges")
 def freshness_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return freshness.edge_freshness(*_graph(spark, sf)).select("edge_id", "fresh")
+    return freshness.edge_freshness(c.relations(spark, sf), freshness.fresh_nodes(c.nodes(spark, sf))).select(c.edge_identity().alias("edge_id"), "fresh")
 
 
 @query(
@@ -478,11 +478,11 @@ _OWNED = f"{G}, {N}, owned AS (SELECT e.*, n.path AS owner_path FROM edges e JOI
     f"WITH {_OWNED} SELECT edge_id, owner_path FROM owned WHERE owner_path LIKE 'src/order/0%' AND ('0x' || substr(md5(edge_id), 1, 4))::INT % 5 = 0",
 )
 def reconcile_edges(spark: SparkSession, sf: str) -> DataFrame:
-    edges = c.edges(spark, sf)
-    owners = c.nodes(spark, sf).select(F.col("node_id").alias("source_id"), F.col("path").alias("source_path"))
-    stored = edges.join(owners, "source_id").withColumn("owner_path", incremental.owner_path(F.col("relation_kind"), F.col("source_path"), F.lit(None).cast("string")))
-    derived = edges.where(F.conv(F.substring(F.md5("edge_id"), 1, 4), 16, 10).cast("int") % 5 != 0)
-    paths = c.nodes(spark, sf).where("path like 'src/order/0%'").select("path")
+    owners = c.nodes(spark, sf).where("path like 'src/order/0%'").select(F.col("node_id").alias("source_id"), F.col("path").alias("source_path"))
+    # of the paths' own relations only are the ids made
+    stored = c.relations(spark, sf).join(owners, "source_id").withColumn("owner_path", incremental.owner_path(F.col("relation_kind"), F.col("source_path"), F.lit(None).cast("string"))).withColumn("edge_id", c.edge_identity())
+    derived = stored.where(F.conv(F.substring(F.md5("edge_id"), 1, 4), 16, 10).cast("int") % 5 != 0)
+    paths = owners.select(F.col("source_path").alias("path"))
     return incremental.reconcile_edges(stored, derived, paths).select("edge_id", "owner_path")
 
 

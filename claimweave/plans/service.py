@@ -89,7 +89,7 @@ class Service:
 
     def fragment(self, entry: str, relations: list[str], hops: int = 2, **caps) -> dict:
         e = self.edges()
-        return graph.bounded_fragment(e, self.nodes(), entry, relations, hops, stop=graph.boundary_nodes(e), **caps)
+        return graph.bounded_fragment(e, self.nodes(), entry, relations, hops, stop=graph.BOUNDARY, **caps)
 
     def context(self, question: str, max_chars: int = 3000) -> dict:
         """Claims of a question and one hop around each, whole while they fit, then as stubs."""

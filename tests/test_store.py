@@ -4,13 +4,14 @@ import json
 import sys
 
 import pytest
-from claimweave.operators import graph
+from claimweave.operators import graph, incremental
 from claimweave.operators.aggregate import inventory_digest, metrics_stats, release_verdict
 from claimweave.operators.store import ClaimStore
 from claimweave.plans import samples, warm
 from claimweave.schema import CLAIM, conform
 from claimweave.sources import files as sources
-from claimweave.sources import hooks
+from claimweave.sources import corpora, hooks
+from pyspark.sql import functions as F
 
 
 def frame(spark, tree):
@@ -72,6 +73,30 @@ def test_all_samples_derive(spark):
     assert claims.where("confidence < 0 or confidence > 1").count() == 0
 
 
+def test_edges_without_ids(spark):
+    """Dangling ends are the same whether edges come with ids or get them at the end; reconciliation compares the edges of the paths alone."""
+    rows = [("calls", "a", "b", None), ("calls", "a", "gone", None), ("inherits", "lost", "b", "extends"), ("calls", "gone", "gone", None)]
+    e = spark.createDataFrame(rows, "relation_kind string, source_id string, target_id string, relation string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "node_id string")
+    known = e.withColumn("edge_id", corpora.edge_identity())
+    late, early = graph.dangling(e, nodes, corpora.edge_identity()), graph.dangling(known, nodes)
+    assert sorted(late.collect()) == sorted(early.collect()) and sorted((r.endpoint_role, r.endpoint) for r in late.collect()) == [("source", "gone"), ("source", "lost"), ("target", "gone"), ("target", "gone")]
+    owned = known.withColumn("owner_path", F.concat("source_id", F.lit(".py")))
+    again = owned.where("target_id = 'b'")
+    paths = spark.createDataFrame([("a.py",), ("lost.py",)], "path string")
+    for derived in (again, again.drop("owner_path")):
+        assert [r.target_id for r in incremental.reconcile_edges(owned, derived, paths).collect()] == ["gone"]
+
+
+def test_bounded_fragment_stops_at_kinds(spark):
+    """The walk reaches what a write touches and doesn't go beyond it; without a stop it does."""
+    e = spark.createDataFrame([("e1", "calls", "a", "b"), ("e2", "calls", "b", "c"), ("e3", "writes", "x", "b"), ("e4", "calls", "a", "d"), ("e5", "calls", "d", "f")], "edge_id string, relation_kind string, source_id string, target_id string")
+    fresh = spark.createDataFrame([(x,) for x in "abcdfx"], "node_id string")
+    out = graph.bounded_fragment(e, fresh, "a", ["calls"], 2, stop=graph.BOUNDARY)
+    assert (out["nodes"], out["boundaries"]) == (["a", "b", "d", "f"], ["b"])
+    assert graph.bounded_fragment(e, fresh, "a", ["calls"], 2)["nodes"] == ["a", "b", "c", "d", "f"]
+
+
 def test_bounded_fragment_rules(spark):
     e = spark.createDataFrame([(f"e{i}", "calls", "n0", f"n{i}", None) for i in range(1, 90)] + [("f1", "publishes_to", "n1", "t", None), ("f2", "calls", "t", "u", None)], "edge_id string, relation_kind string, source_id string, target_id string, relation string")
     fresh = spark.createDataFrame([(f"n{i}",) for i in range(90)] + [("t",), ("u",)], "node_id string")
